@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.session import cut
+
 # Letters of other scripts that look like a Latin letter, by prototype.
 LOOKALIKE_CYRILLIC = {
     "a": "а", "c": "с", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "ј", "l": "ӏ", "o": "о", "p": "р", "q": "ԛ",
@@ -351,6 +353,7 @@ def look_alike_pairs(df: DataFrame, id_col: str, text_col: str, a: str, b: str)
     """
     keyed = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), visible_key(F.col(text_col)).alias("__k"))
     keyed = keyed.where("length(__k) > 0").select("__id", F.unhex(F.md5("__k")).alias("__k"), F.xxhash64("__t").alias("__v"))
+    keyed = cut(keyed)  # used three times below; the texts are read and normalised once
     spellings = keyed.groupBy("__k").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi")).where("__lo <> __hi").select("__k")
     several = keyed.join(spellings, "__k", "left_semi")
     x, y = (several.select("__k", F.col("__id").alias(i), F.col("__v").alias(v)) for i, v in ((a, "__va"), (b, "__vb")))
