@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import visible
+from weftline.llm import leaks, nearcopies, visible
 from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,24 @@ def p2_eval_items(spark: SparkSession, d: str) -> DataFrame:
     return items.select("item_id", visible.consistent_form(F.col("text")).alias("text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_documents, p2_eval_items)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    member, links = nearcopies.similar_sets(docs, "doc_id", "text", shingle=3, num=1, den=2, min_words=25)
+    return nearcopies.similar_pairs(member, links, "doc_a", "doc_b")
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return nearcopies.similar_groups(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_passages(spark, d).select("doc_id", "item_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_documents, p2_eval_items, p6_found, p6_groups, p8_found, p8_passages)}
 
 ORACLES: dict[str, str] = {}
