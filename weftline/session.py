@@ -51,3 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
 def spill_cache(df: DataFrame) -> DataFrame:
     """Keep ``df`` for several uses, on disk so that memory stays free."""
     return df.persist(StorageLevel.DISK_ONLY)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that costs far more than a shuffle.
+
+    Only an input of fewer splits than cores, hence a small one, is shuffled.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
