@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import visible, words
+from weftline.session import spread
 
 _SCHEMA = "doc_id long, item_id long, n_words int, begin_char int, end_char int"
 _CACHE: dict[bytes, tuple] = {}
@@ -86,7 +87,7 @@ def _scan(docs: DataFrame, ids: list[int], texts: list[str], run: int) -> DataFr
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "n_words", "begin_char", "end_char"])
 
-    return docs.mapInArrow(scan, _SCHEMA)
+    return spread(docs).mapInArrow(scan, _SCHEMA)
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, run: int = 13, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = 20_000) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import words
 from weftline.operators.graph import connected_components
-from weftline.session import cut
+from weftline.session import cut, spread
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: int, parts: int, radius: int) -> DataFrame:
@@ -75,7 +75,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: in
                 )
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
-    return src.mapInArrow(run, "id long, h1 long, h2 long, sh array<long>, bands array<long>")
+    return spread(src).mapInArrow(run, "id long, h1 long, h2 long, sh array<long>, bands array<long>")
 
 
 def similar_sets(

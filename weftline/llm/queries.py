@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import leaks, nearcopies, visible
+from weftline.llm import languages, leaks, nearcopies, visible
 from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,21 @@ def p2_eval_items(spark: SparkSession, d: str) -> DataFrame:
     return items.select("item_id", visible.consistent_form(F.col("text")).alias("text"))
 
 
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    s = languages.language_segments(table(spark, d, "documents"))
+    return s.select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", "s.*")
+
+
+def p5_documents(spark: SparkSession, d: str) -> DataFrame:
+    s = languages.language_shares(languages.language_segments(table(spark, d, "documents")))
+    top = F.get("langs", F.lit(0))
+    return s.select("doc_id", "label", top.lang.alias("lang"), top.share.alias("share"), top.confidence.alias("confidence"), F.size("langs").alias("n_langs"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.wrong_languages(languages.language_shares(languages.language_segments(table(spark, d, "documents"))))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     member, links = nearcopies.similar_sets(docs, "doc_id", "text", shingle=3, num=1, den=2, min_words=25)
@@ -46,6 +61,6 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_passages(spark, d).select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_documents, p2_eval_items, p6_found, p6_groups, p8_found, p8_passages)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_documents, p2_eval_items, p5_found, p5_segments, p5_documents, p6_found, p6_groups, p8_found, p8_passages)}
 
 ORACLES: dict[str, str] = {}

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.session import cut
+from weftline.session import cut, spread
 
 # Letters of other scripts that look like a Latin letter, by prototype.
 LOOKALIKE_CYRILLIC = {
@@ -351,7 +351,8 @@ def look_alike_pairs(df: DataFrame, id_col: str, text_col: str, a: str, b: str)
     with a single spelling are removed by an aggregate that combines on the map side before any pairing, so copies of
     one spelling, however many, never meet.  Texts without visible characters and nulls take no part.
     """
-    keyed = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), visible_key(F.col(text_col)).alias("__k"))
+    src = spread(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")))
+    keyed = src.select("__id", "__t", visible_key(F.col("__t")).alias("__k"))
     keyed = keyed.where("length(__k) > 0").select("__id", F.unhex(F.md5("__k")).alias("__k"), F.xxhash64("__t").alias("__v"))
     keyed = cut(keyed)  # used three times below; the texts are read and normalised once
     spellings = keyed.groupBy("__k").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi")).where("__lo <> __hi").select("__k")
