@@ -25,7 +25,7 @@ from weftline.llm.sentences import Sentences, sentences_of
 from weftline.session import spread
 
 #: Bounds of the sample that the models are fitted on.
-FIT_DOCS, FIT_CHARS = 800, 4000
+FIT_DOCS, FIT_CHARS = 500, 4000
 ORDER, BITS = 5, 12
 #: Shortest sentence, in words, that is told a language by itself.
 MIN_WORDS = 4
@@ -61,10 +61,11 @@ class Model(NamedTuple):
     scale: float  # of log-likelihood differences, for the confidence
 
 
-def _symbols(s: Sentences, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all sentences, each led by a space, runs of other characters as one space; and their offsets."""
-    n = s.end - s.begin
-    at = np.repeat(s.begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
+def _symbols(s: Sentences, alphabet: np.ndarray, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the sentences ``lo:hi``, runs of other characters as one space, none leading; and their offsets."""
+    begin = s.begin[lo:hi]
+    n = s.end[lo:hi] - begin
+    at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
     sent = np.repeat(np.arange(len(n)), n)
     x = alphabet[s.cp[at]]
     first = np.ones(len(x), bool)
@@ -214,9 +215,13 @@ def _entropy(m: Model, grams: list[np.ndarray], off: np.ndarray) -> np.ndarray:
 
 def tell(m: Model, s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every sentence the language's index (-1: none), the confidence in 0..1 and the number of symbols."""
-    x, off = _symbols(s, m.alphabet)
-    ce = _entropy(m, _grams(x, off), off)
-    size = np.diff(off)
+    parts, sizes = [], []
+    for lo in range(0, len(s.begin), 10_000):
+        x, off = _symbols(s, m.alphabet, lo, lo + 10_000)
+        parts.append(_entropy(m, _grams(x, off), off))
+        sizes.append(np.diff(off))
+    ce = np.concatenate(parts) if parts else np.zeros((0, len(m.floor)), np.float32)
+    size = np.concatenate(sizes) if sizes else np.zeros(0, int)
     best = ce.argmin(1) if len(ce) else np.zeros(0, int)
     lead = ce[np.arange(len(best)), best]
     z = np.exp(-(ce - lead[:, None]) * (size * m.scale)[:, None])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import languages, leaks, nearcopies, visible
+from weftline.llm import languages, leaks, nearcopies, subjects, visible
 from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,21 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_passages(spark, d).select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_documents, p2_eval_items, p5_found, p5_segments, p5_documents, p6_found, p6_groups, p8_found, p8_passages)}
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    model = subjects.fit_subjects(docs, table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+    return subjects.accepted(subjects.subject_shares(docs, model))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_shares(spark, d).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by subject over the whole corpus."""
+    return p9_found(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_documents, p2_eval_items, p5_found, p5_segments, p5_documents, p6_found, p6_groups, p8_found, p8_passages, p9_found, p9_shares, p9_composition)}
 
 ORACLES: dict[str, str] = {}
