@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import languages, leaks, nearcopies, subjects, visible
+from weftline.llm import distinctive, languages, leaks, nearcopies, neighbours, subjects, visible
 from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,24 @@ def p2_eval_items(spark: SparkSession, d: str) -> DataFrame:
     return items.select("item_id", visible.consistent_form(F.col("text")).alias("text"))
 
 
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    return distinctive.distinctive_terms(table(spark, d, "bench_rows").select("subset_id", "row_no", "text"), ["subset_id", "row_no"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    scored = p3_scores(spark, d).where("score > 0")
+    return scored.where("tf >= 2 and df between 2 and 10").select("subset_id", "row_no", "term")
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "feature_rows").select("vec_id", "subset_id", "g", "proj_bd")
+    return neighbours.nearest(rows, "vec_id", "subset_id", ["g", "proj_bd"])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbour_pairs(p4_neighbours(spark, d), "vec_a", "vec_b")
+
+
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     s = languages.language_segments(table(spark, d, "documents"))
     return s.select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", "s.*")
@@ -76,6 +94,13 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_documents, p2_eval_items, p5_found, p5_segments, p5_documents, p6_found, p6_groups, p8_found, p8_passages, p9_found, p9_shares, p9_composition)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_documents, p2_eval_items, p3_found, p3_scores, p4_found, p4_neighbours, p5_found, p5_segments, p5_documents, p6_found, p6_groups, p8_found, p8_passages, p9_found, p9_shares, p9_composition)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p3_found": r"""
+        WITH t AS (SELECT subset_id, row_no, unnest(regexp_extract_all(lower(text), '\p{L}{3,}')) AS term FROM bench_rows),
+        tf AS (SELECT subset_id, row_no, term, count(*) AS tf FROM t GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+        SELECT subset_id, row_no, term FROM tf JOIN df USING (term) WHERE tf >= 2 AND df BETWEEN 2 AND 10
+    """,
+}
