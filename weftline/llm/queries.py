@@ -7,12 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import distinctive, languages, leaks, nearcopies, neighbours, subjects, visible
+from weftline.llm import distinctive, languages, leaks, markov, nearcopies, neighbours, subjects, visible
 from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    g = markov.group_texts(markov.request_texts(table(spark, d, "cluster_requests"))).select("request_id", "pos", "cluster")
+    x, y = (g.withColumnRenamed("pos", n) for n in ("pos_a", "pos_b"))
+    return x.join(y, ["request_id", "cluster"]).where("pos_a < pos_b").select("request_id", "pos_a", "pos_b")
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    texts = markov.request_texts(table(spark, d, "cluster_requests"))
+    return markov.describe(markov.group_texts(texts), texts)
+
+
+def p1_responses(spark: SparkSession, d: str) -> DataFrame:
+    requests = table(spark, d, "cluster_requests")
+    return markov.responses(markov.group_texts(markov.request_texts(requests)), requests)
+
+
+def p1_bench(spark: SparkSession, d: str) -> DataFrame:
+    """Groups found in the labelled subsets, beside their labels."""
+    rows = table(spark, d, "bench_rows").select(F.col("subset_id").cast("long").alias("request_id"), F.col("row_no").alias("pos"), "text", "label")
+    g = markov.group_texts(rows)
+    found = rows.select("request_id", "pos", "label").join(g.select("request_id", "pos", "cluster"), ["request_id", "pos"], "left")
+    return found.select(F.col("request_id").alias("subset_id"), F.col("pos").alias("row_no"), "label", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     posts = table(spark, d, "post_pool").select("post_id", "text")
     return visible.look_alike_pairs(posts, "post_id", "text", "post_a", "post_b")
@@ -94,7 +118,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_documents, p2_eval_items, p3_found, p3_scores, p4_found, p4_neighbours, p5_found, p5_segments, p5_documents, p6_found, p6_groups, p8_found, p8_passages, p9_found, p9_shares, p9_composition)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clusters, p1_responses, p1_bench, p2_found, p2_documents, p2_eval_items, p3_found, p3_scores, p4_found, p4_neighbours, p5_found, p5_segments, p5_documents, p6_found, p6_groups, p8_found, p8_passages, p9_found, p9_shares, p9_composition)}
 
 ORACLES: dict[str, str] = {
     "p3_found": r"""
