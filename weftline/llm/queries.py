@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import distinctive, languages, leaks, markov, nearcopies, neighbours, subjects, visible
+from weftline.llm import distinctive, languages, leaks, markov, nearcopies, neighbours, packing, subjects, visible
 from weftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,11 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.similar_groups(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return packing.pack_budgets(docs, table(spark, d, "pack_budgets"))
+
+
 def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -118,7 +123,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clusters, p1_responses, p1_bench, p2_found, p2_documents, p2_eval_items, p3_found, p3_scores, p4_found, p4_neighbours, p5_found, p5_segments, p5_documents, p6_found, p6_groups, p8_found, p8_passages, p9_found, p9_shares, p9_composition)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clusters, p1_responses, p1_bench, p2_found, p2_documents, p2_eval_items, p3_found, p3_scores, p4_found, p4_neighbours, p5_found, p5_segments, p5_documents, p6_found, p6_groups, p7_pack, p8_found, p8_passages, p9_found, p9_shares, p9_composition)}
 
 ORACLES: dict[str, str] = {
     "p3_found": r"""
