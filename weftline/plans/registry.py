@@ -1,4 +1,4 @@
-"""All queries of the core, by name."""
+"""All queries of the core, by name, each with its SQL counterpart where SQL can express it."""
 
 from __future__ import annotations
 
@@ -12,5 +12,17 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
 def FLAGSHIP(spark: SparkSession, d: str) -> DataFrame:  # noqa: N802
-    return spark.read.parquet(f"{d}/documents.parquet").groupBy("source").count()
+    return QUERIES["f04_tfidf_top_terms"](spark, d)
