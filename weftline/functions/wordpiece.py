@@ -8,13 +8,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions.text import has_cjk
 
 LONGEST_WORD = 100
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalise(s: pd.Series) -> pd.Series:
     """Controls dropped, CJK spaced, accents removed, lower case."""
 

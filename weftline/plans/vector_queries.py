@@ -1 +1,231 @@
-"""Queries."""
+"""Queries on vectors, neighbours, graphs, layouts and clusterings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftline.operators import knn as K
+from weftline.plans.registry import query
+from weftline.session import cut, table
+
+_DOT = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+
+
+def _dot(a: str, b: str) -> str:
+    return _DOT.format(a=a, b=b)
+
+
+def emb(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings")
+
+
+def neighbours(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return K.exact_knn(emb(spark, d), "vec_id", "embedding", k)
+
+
+UNIT = f"u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt({_dot('embedding', 'embedding')})) AS v FROM embeddings)"
+_D = "CAST(greatest(round((1 - list_dot_product(a.v, b.v)) * 1e6), 0) AS DOUBLE) / 1e6"
+
+
+def NN(k: int) -> str:  # noqa: N802
+    return f"{UNIT}, p AS (SELECT a.vec_id AS src, b.vec_id AS dst, {_D} AS dist FROM u a JOIN u b ON a.vec_id <> b.vec_id), nn AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank, dist FROM p QUALIFY rank <= {k})"
+
+
+@query(f"SELECT vec_id, subset_id, list_transform(CAST(g AS DOUBLE[]), lambda x: round(CASE WHEN {_dot('g', 'g')} > 0 THEN x / sqrt({_dot('g', 'g')}) ELSE x END, 6)) AS v FROM feature_rows")
+def v01_normalised(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "feature_rows").select("vec_id", "subset_id", F.transform(K.normalise(F.col("g")), lambda x: F.round(x, 6)).alias("v"))
+
+
+@query(f"WITH s AS (SELECT vec_id, list_concat(list_transform(CAST(g AS DOUBLE[]), lambda x: x * 0.84), list_transform(CAST(proj_bd AS DOUBLE[]), lambda x: x * 1.4)) AS v FROM feature_rows WHERE g IS NOT NULL AND proj_bd IS NOT NULL) SELECT vec_id, list_transform(v, lambda x: round(CASE WHEN {_dot('v', 'v')} > 0 THEN x / sqrt({_dot('v', 'v')}) ELSE x END, 6)) AS v FROM s")
+def v02_weighted_stack(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "feature_rows").where("g is not null and proj_bd is not null")
+    scale = lambda c, w: F.transform(c, lambda x: x.cast("double") * w)
+    return t.select("vec_id", F.transform(K.normalise(F.concat(scale("g", 0.84), scale("proj_bd", 1.4))), lambda x: F.round(x, 6)).alias("v"))
+
+
+@query()
+def v03_v05_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.operators.matrix import spectrum
+
+    return spectrum(emb(spark, d), "embedding", 8)
+
+
+@query("WITH e AS (SELECT label, unnest(range(64)) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) SELECT label, CAST(pos AS INT) AS pos, round(avg(x), 6) AS mean FROM e GROUP BY ALL")
+def v07_group_mean(spark: SparkSession, d: str) -> DataFrame:
+    return emb(spark, d).select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+@query(f"WITH c AS (SELECT subset_id, row_no, g, lead(g) OVER (PARTITION BY subset_id ORDER BY row_no) AS h FROM feature_rows WHERE g IS NOT NULL) SELECT subset_id, row_no, round({_dot('g', 'h')}, 6) AS dot FROM c WHERE h IS NOT NULL")
+def v08_dot_product(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("subset_id").orderBy("row_no")
+    t = table(spark, d, "feature_rows").where("g is not null").select("subset_id", "row_no", "g", F.lead("g").over(w).alias("h")).where("h is not null")
+    return t.select("subset_id", "row_no", F.round(K.dot(F.col("g"), F.col("h")), 6).alias("dot"))
+
+
+@query()
+def v10_ridge(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.operators.matrix import ridge
+
+    t = table(spark, d, "feature_rows").where("g is not null and proj_bd is not null")
+    return ridge(t, "proj_bd", "g", 1.0)
+
+
+@query(f"WITH {NN(15)} SELECT src, dst, CAST(rank AS INT) AS rank, dist FROM nn")
+def j01_exact_knn(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours(spark, d, 15)
+
+
+@query(f"""WITH {NN(16)}, m AS (SELECT src, pos, avg(x) AS m FROM (SELECT nn.src, unnest(range(64)) AS pos, unnest(v) AS x FROM nn JOIN u ON nn.dst = u.vec_id) GROUP BY ALL),
+z AS (SELECT vec_id, q.pos, 0.8 * q.x + 0.2 * m.m AS x FROM (SELECT vec_id, unnest(range(64)) AS pos, unnest(v) AS x FROM u) q JOIN m ON m.src = q.vec_id AND m.pos = q.pos)
+SELECT vec_id, CAST(pos AS INT) AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 5) AS x FROM z""")
+def j02_smoothed(spark: SparkSession, d: str) -> DataFrame:
+    s = K.smooth(emb(spark, d), "vec_id", "embedding", neighbours(spark, d, 16), 0.2)
+    return s.select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 5))
+
+
+@query(f"WITH {NN(15)} SELECT src, dst FROM nn UNION SELECT dst AS src, src AS dst FROM nn")
+def j03_connectivity(spark: SparkSession, d: str) -> DataFrame:
+    return K.symmetric(neighbours(spark, d, 15))
+
+
+@query()
+def j04_fuzzy_graph(spark: SparkSession, d: str) -> DataFrame:
+    return K.fuzzy_graph(cut(neighbours(spark, d, 15)), 15)
+
+
+@query(f"WITH {NN(15)}, e AS (SELECT src, dst FROM nn UNION SELECT dst, src FROM nn), g AS (SELECT src, count(*) AS d FROM e GROUP BY src) SELECT e.src, e.dst, round(1.0 / sqrt(a.d * b.d), 6) AS w FROM e JOIN g a ON a.src = e.src JOIN g b ON b.src = e.dst")
+def j19_normalised_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    e = K.symmetric(neighbours(spark, d, 15)).withColumn("w", F.lit(1.0))
+    return K.normalised_adjacency(e).withColumn("w", F.round("w", 6))
+
+
+@query(f"WITH {NN(15)}, m AS (SELECT max(1 - dist) AS m FROM nn) SELECT src, dst, round(m / (1 - dist), 6) AS epochs FROM nn, m WHERE (1 - dist) >= m / 4")
+def j20_due_edges(spark: SparkSession, d: str) -> DataFrame:
+    nn = cut(neighbours(spark, d, 15).withColumn("w", 1 - F.col("dist")))
+    top = nn.agg(F.max("w").alias("m"))
+    return nn.join(F.broadcast(top)).where("w >= m / 4").select("src", "dst", F.round(F.col("m") / F.col("w"), 6).alias("epochs"))
+
+
+@query(f"WITH {NN(5)}, v AS (SELECT src, label, count(*) AS n FROM nn JOIN u ON nn.dst = u.vec_id GROUP BY ALL) SELECT src AS vec_id, label FROM v QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, label) = 1")
+def j06_majority_vote(spark: SparkSession, d: str) -> DataFrame:
+    v = neighbours(spark, d, 5).join(emb(spark, d).select(F.col("vec_id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("src").orderBy(F.desc("n"), "label")
+    return v.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("src").alias("vec_id"), "label")
+
+
+CENT = f"{UNIT}, c0 AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(range(64)) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY ALL), c1 AS (SELECT label AS c, list(m ORDER BY pos) AS m FROM c0 GROUP BY label), c AS (SELECT c, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS v FROM c1)"
+
+
+@query(f"WITH {CENT} SELECT vec_id, c.c AS label, round(list_dot_product(u.v, c.v), 6) AS sim FROM u, c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(u.v, c.v), 6) DESC, c.c) = 1")
+def j07_nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
+    c = K.centroids(emb(spark, d), "label", "embedding")
+    return K.nearest_centroid(emb(spark, d), "vec_id", "embedding", c, "label").select(F.col("id").alias("vec_id"), "label", "sim")
+
+
+@query()
+def j08_rescued(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.operators.labels import rescue
+
+    t = table(spark, d, "feature_rows").where("g is not null and pred is not null")
+    return rescue(t.select("vec_id", F.col("pred").alias("cluster"), "g"), "vec_id", "cluster", "g", 40, 0.3)
+
+
+@query()
+def j09_mutual_merges(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.operators.labels import mutual_merges
+
+    t = table(spark, d, "feature_rows").where("g is not null and pred is not null")
+    cell = F.pmod(F.col("vec_id"), F.lit(400)).cast("int")
+    return mutual_merges(t.select("vec_id", cell.alias("cluster"), "g"), "cluster", "g", 5, 0.5)
+
+
+@query(f"WITH {NN(10)}, t AS (SELECT src, dst FROM nn QUALIFY row_number() OVER (PARTITION BY src ORDER BY rank) <= 5), o AS (SELECT src, (dst * 7) % 500 AS dst FROM nn) SELECT n.src, round(count(o.dst) / 10.0, 6) AS recall FROM nn n LEFT JOIN (SELECT DISTINCT src, dst FROM o) o ON n.src = o.src AND n.dst = o.dst GROUP BY n.src")
+def j10_recall(spark: SparkSession, d: str) -> DataFrame:
+    nn = cut(neighbours(spark, d, 10))
+    other = nn.select("src", (F.col("dst") * 7 % 500).alias("dst")).distinct()
+    return K.recall(nn, other, 10).withColumn("recall", F.round("recall", 6))
+
+
+@query()
+def e01_spectral(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.operators.layout import spectral
+
+    e = K.symmetric(neighbours(spark, d, 15)).select(F.lit(0).cast("long").alias("subset_id"), "src", "dst", F.lit(1.0).alias("w"))
+    return spectral(e, "subset_id", 8)
+
+
+@query()
+def e05_umap(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.operators.layout import umap
+
+    nn = cut(neighbours(spark, d, 15))
+    g = K.fuzzy_graph(nn, 15).select(F.lit(0).cast("long").alias("subset_id"), "src", "dst", "w")
+    return umap(g, "subset_id", dim=5, epochs=200)
+
+
+@query()
+def c01_kmeans(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.operators.clustering import kmeans
+
+    return kmeans(emb(spark, d), "vec_id", "embedding")
+
+
+@query()
+def c04_average_linkage(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.operators.clustering import average_linkage
+
+    t = table(spark, d, "feature_rows").where("g is not null")
+    return average_linkage(t, "subset_id", "row_no", "g", 28)
+
+
+@query()
+def c06_density_clusters(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.operators.clustering import density_clusters
+
+    t = table(spark, d, "feature_rows").where("g is not null")
+    return density_clusters(t, "subset_id", "row_no", "g", 25, 10)
+
+
+@query(f"WITH {NN(10)} SELECT src AS vec_id, dist AS core FROM nn WHERE rank = 10")
+def c06_core_distance(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours(spark, d, 10).where("rank = 10").select(F.col("src").alias("vec_id"), F.col("dist").alias("core"))
+
+
+@query(f"WITH {NN(10)}, k AS (SELECT src, dist AS core FROM nn WHERE rank = 10) SELECT nn.src, nn.dst, greatest(nn.dist, a.core, b.core) AS reach FROM nn JOIN k a ON a.src = nn.src JOIN k b ON b.src = nn.dst")
+def c06_mutual_reachability(spark: SparkSession, d: str) -> DataFrame:
+    nn = cut(neighbours(spark, d, 10))
+    core = nn.where("rank = 10").select("src", F.col("dist").alias("ca"))
+    e = nn.join(core, "src").join(core.select(F.col("src").alias("dst"), F.col("ca").alias("cb")), "dst")
+    return e.select("src", "dst", F.greatest("dist", "ca", "cb").alias("reach"))
+
+
+@query("WITH r AS (SELECT vec_id, (vec_id % 500) / 1000.0 AS rel FROM embeddings), b AS (SELECT vec_id, least(greatest((rel - 0.1) / 0.22, 0), 1) AS beta FROM r) SELECT vec_id, CAST(round_even(40 + 180 * beta, 0) AS INT) AS k, round(0.25 + 0.15 * beta, 6) AS fraction FROM b")
+def c08_adaptive_cut(spark: SparkSession, d: str) -> DataFrame:
+    beta = F.least(F.greatest((F.col("vec_id") % 500 / 1000.0 - 0.1) / 0.22, F.lit(0.0)), F.lit(1.0))
+    return emb(spark, d).select("vec_id", F.bround(40 + 180 * beta, 0).cast("int").alias("k"), F.round(0.25 + 0.15 * beta, 6).alias("fraction"))
+
+
+@query()
+def c13_baseline_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.plans.pipelines import baseline
+
+    return baseline(table(spark, d, "bench_rows"), "subset_id", "row_no", "text")
+
+
+@query()
+def c13_small_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.plans.pipelines import layout_and_density
+
+    return layout_and_density(table(spark, d, "feature_rows"), "subset_id", "row_no", "g")
+
+
+@query()
+def n02_encoder(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.functions.wordpiece import encode
+    from weftline.operators.encoder import Weights, encode_ids
+
+    rows = table(spark, d, "bench_rows").select("subset_id", "row_no", "text")
+    pieces = table(spark, d, "vocab_pieces")
+    ids = encode(rows, ["subset_id", "row_no"], "text", pieces, 64)
+    return encode_ids(ids, ["subset_id", "row_no"], Weights.random(pieces.count(), 32, 2, 4))
