@@ -1 +1,87 @@
-"""Queries."""
+"""Queries on cluster labels: routing, repair rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftline.functions import text as X
+from weftline.operators import labels as L
+from weftline.plans import sqltext as Q
+from weftline.plans.registry import query
+from weftline.session import table
+
+_F = "f AS (SELECT subset_id, row_no, pred AS cluster, round(abs(CAST(g[1] AS DOUBLE)), 6) AS dist FROM feature_rows WHERE g IS NOT NULL AND pred IS NOT NULL)"
+
+
+def rows(spark: SparkSession, d: str) -> DataFrame:
+    """Predicted labels with a number that stands for the isolation of the row."""
+    t = table(spark, d, "feature_rows").where("g is not null and pred is not null")
+    return t.select("subset_id", "row_no", F.col("pred").alias("cluster"), F.round(F.abs(F.get("g", F.lit(0)).cast("double")), 6).alias("dist"))
+
+
+@query(f"""WITH c AS (SELECT subset_id, text, length({Q.clean('text', ' ')}) AS n FROM bench_rows), m AS (SELECT subset_id, count(*) FILTER (n >= 40) AS long, median(n) FILTER (n > 0) AS m0, median(n) FILTER (n >= 40) AS m40, avg(CASE WHEN contains(text, chr(10)) THEN 1.0 ELSE 0 END) AS nl, avg(CASE WHEN regexp_matches(lower(text), 'http|www\\.') THEN 1.0 ELSE 0 END) AS url FROM c GROUP BY subset_id)
+SELECT subset_id, CASE WHEN long >= 50 THEN m40 ELSE m0 END AS median, round(nl, 6) AS newline, round(url, 6) AS url, CASE WHEN (CASE WHEN long >= 50 THEN m40 ELSE m0 END) < 130 AND nl < 0.08 AND url < 0.03 THEN 'short' ELSE 'long' END AS route FROM m""")
+def c09_route(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "bench_rows").select("subset_id", "text", F.length(X.clean_long(F.col("text"))).alias("n"))
+    flag = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    m = t.groupBy("subset_id").agg(
+        F.count(F.when(F.col("n") >= 40, 1)).alias("long"), F.median(F.when(F.col("n") > 0, F.col("n"))).alias("m0"), F.median(F.when(F.col("n") >= 40, F.col("n"))).alias("m40"),
+        flag(X.has_newline(F.col("text"))).alias("newline"), flag(X.has_url(F.col("text"))).alias("url"),
+    ).withColumn("median", F.when(F.col("long") >= 50, F.col("m40")).otherwise(F.col("m0")))
+    route = F.when((F.col("median") < 130) & (F.col("newline") < 0.08) & (F.col("url") < 0.03), "short").otherwise("long")
+    return m.select("subset_id", "median", F.round("newline", 6).alias("newline"), F.round("url", 6).alias("url"), route.alias("route"))
+
+
+@query(f"WITH {_F}, r AS (SELECT *, row_number() OVER (PARTITION BY subset_id ORDER BY dist DESC, row_no) AS r, count(*) OVER (PARTITION BY subset_id) AS n FROM f) SELECT subset_id, row_no, CASE WHEN r <= floor(n * 0.25) THEN 1000000 + r - 1 ELSE cluster END AS relabelled FROM r")
+def l01_singletons(spark: SparkSession, d: str) -> DataFrame:
+    return L.singletons(rows(spark, d), "subset_id", "row_no", F.col("dist"), 0.25).select("subset_id", "row_no", "relabelled")
+
+
+@query()
+def l02_protected(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "feature_rows").where("g is not null and pred >= 0").select("subset_id", "row_no", F.col("pred").alias("cluster"), "g")
+    return L.protected(t, "subset_id", "row_no", "g", least=20, lo=0.006)
+
+
+_SCR = "s AS (SELECT f.subset_id, f.row_no, f.pred AS cluster, CASE WHEN length(regexp_replace(b.text, '[^\\x{0400}-\\x{052F}]', '', 'g')) * 2 > length(b.text) THEN 1 WHEN length(b.text) % 3 = 0 THEN 2 ELSE 0 END AS script FROM feature_rows f JOIN bench_rows b USING (subset_id, row_no) WHERE f.pred IS NOT NULL AND b.text IS NOT NULL)"
+
+
+@query(f"""WITH {_SCR}, d AS (SELECT *, count(*) OVER (PARTITION BY subset_id) AS n, count(*) OVER (PARTITION BY subset_id, cluster) AS size FROM s),
+sh AS (SELECT subset_id, script FROM d WHERE script > 0 GROUP BY subset_id, script HAVING count(*) / max(n) BETWEEN 0.05 AND 0.4),
+m AS (SELECT subset_id, cluster, script FROM d WHERE size >= 3 GROUP BY subset_id, cluster, script, size HAVING count(*) / size >= 0.3),
+t AS (SELECT subset_id, cluster, min(cluster) OVER (PARTITION BY subset_id, script) AS merged FROM m JOIN sh USING (subset_id, script))
+SELECT s.subset_id, s.row_no, coalesce(t.merged, s.cluster) AS merged FROM s LEFT JOIN t ON t.subset_id = s.subset_id AND t.cluster = s.cluster""")
+def l03_script_merge(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "feature_rows").where("pred is not null").select("subset_id", "row_no", F.col("pred").alias("cluster"))
+    b = table(spark, d, "bench_rows").where("text is not null").select("subset_id", "row_no", "text")
+    cyr = F.length(F.regexp_replace("text", r"[^\x{0400}-\x{052F}]", "")) * 2 > F.length("text")
+    s = t.join(b, ["subset_id", "row_no"]).withColumn("script", F.when(cyr, 1).when(F.length("text") % 3 == 0, 2).otherwise(0)).drop("text")
+    return L.merge_scripts(s, "subset_id", pure=0.3).select("subset_id", "row_no", "merged")
+
+
+@query("SELECT subset_id, row_no, dense_rank() OVER (PARTITION BY subset_id ORDER BY pred) - 1 AS label FROM feature_rows WHERE pred IS NOT NULL")
+def l05_dense(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "feature_rows").where("pred is not null")
+    return t.select("subset_id", "row_no", L.dense(t, "subset_id", "pred").alias("label"))
+
+
+@query(f"WITH {_F}, r AS (SELECT *, count(*) OVER (PARTITION BY subset_id, cluster) AS size, row_number() OVER (PARTITION BY subset_id ORDER BY dist DESC, row_no) AS r, count(*) OVER (PARTITION BY subset_id) AS n FROM f) SELECT subset_id, row_no, CASE WHEN size <= 1 THEN -1 ELSE cluster END AS single, CASE WHEN size < 30 THEN -1 ELSE cluster END AS small, CASE WHEN r <= floor(n * 0.25) THEN -1 ELSE cluster END AS isolated FROM r")
+def l07_noise_rules(spark: SparkSession, d: str) -> DataFrame:
+    each = Window.partitionBy("subset_id")
+    t = rows(spark, d).withColumns({"size": F.count(F.lit(1)).over(Window.partitionBy("subset_id", "cluster")), "r": F.row_number().over(each.orderBy(F.desc("dist"), "row_no")), "n": F.count(F.lit(1)).over(each)})
+    rules = L.noise_rules(F.col("size"), F.col("r"), F.col("n"), small=30)
+    return t.select("subset_id", "row_no", *[c.alias(n) for n, c in rules.items()])
+
+
+@query(f"SELECT b.subset_id, b.row_no, CASE WHEN length({Q.clean('b.text', ' ')}) > 0 THEN f.pred ELSE -1 END AS label FROM bench_rows b JOIN feature_rows f USING (subset_id, row_no)")
+def l09_blank_to_noise(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "bench_rows").join(table(spark, d, "feature_rows").select("subset_id", "row_no", "pred"), ["subset_id", "row_no"])
+    return t.select("subset_id", "row_no", F.when(F.length(X.clean_long(F.col("text"))) > 0, F.col("pred")).otherwise(-1).alias("label"))
+
+
+@query("SELECT subset_id, row_no, CASE WHEN n < 3 THEN row_number() OVER (PARTITION BY subset_id ORDER BY row_no) - 1 WHEN n < 800 THEN 0 ELSE pred END AS label FROM (SELECT *, count(*) OVER (PARTITION BY subset_id) AS n FROM feature_rows)")
+def l11_tiny_inputs(spark: SparkSession, d: str) -> DataFrame:
+    each = Window.partitionBy("subset_id")
+    t = table(spark, d, "feature_rows").withColumn("n", F.count(F.lit(1)).over(each))
+    return t.select("subset_id", "row_no", F.when(F.col("n") < 3, F.row_number().over(each.orderBy("row_no")) - 1).when(F.col("n") < 800, 0).otherwise(F.col("pred")).alias("label"))
