@@ -31,12 +31,13 @@ def permutation(df: DataFrame, key: str, group: str, seed: int = 0) -> DataFrame
     return df.withColumn("place", F.row_number().over(w))
 
 
-def bootstrap(df: DataFrame, value: str, replicates: int, seed: int = 0) -> DataFrame:
-    """(replicate, mean): means of resamples with replacement.  ``df`` is a table of scores, at most 100,000 rows."""
+def bootstrap(df: DataFrame, value: str, replicates: int, seed: int = 0, draws: int | None = None) -> DataFrame:
+    """(replicate, mean): means of resamples with replacement, of ``draws`` or else as many values as there are.  ``df`` is a table of scores, at most 100,000 rows."""
     vals = df.select(F.col(value).cast("double").alias("v")).where("v is not null").agg(F.array_sort(F.collect_list("v")).alias("v"), F.count(F.lit(1)).alias("n"))
     n = vals.select("n").first()[0]
     if n > 100_000:
         raise ValueError(f"{n} scores; at most 100000 are resampled")
     r = df.sparkSession.range(replicates).withColumnRenamed("id", "replicate")
     draw = lambda i: F.element_at("v", (stable_hash(F.concat(F.lit(f"{seed}:"), F.col("replicate").cast("string"), F.lit(":"), i.cast("string"))) % F.col("n") + 1).cast("int"))
-    return r.join(F.broadcast(vals)).where("n > 0").select("replicate", (F.aggregate(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), draw), F.lit(0.0), lambda s, x: s + x) / F.col("n")).alias("mean"))
+    size = F.lit(draws) if draws else F.col("n")
+    return r.join(F.broadcast(vals)).where("n > 0").select("replicate", (F.aggregate(F.transform(F.sequence(F.lit(1), size.cast("int")), draw), F.lit(0.0), lambda s, x: s + x) / size).alias("mean"))
