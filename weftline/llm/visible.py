@@ -352,9 +352,10 @@ def look_alike_pairs(df: DataFrame, id_col: str, text_col: str, a: str, b: str)
     one spelling, however many, never meet.  Texts without visible characters and nulls take no part.
     """
     src = spread(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")))
-    keyed = src.select("__id", "__t", visible_key(F.col("__t")).alias("__k"))
-    keyed = keyed.where("length(__k) > 0").select("__id", F.unhex(F.md5("__k")).alias("__k"), F.xxhash64("__t").alias("__v"))
-    keyed = cut(keyed)  # used three times below; the texts are read and normalised once
+    key = visible_key(F.col("__t"))
+    # No filter on the key before the cut: the optimiser would move it below and normalise every text twice.
+    keyed = cut(src.select("__id", F.unhex(F.md5(key)).alias("__k"), F.xxhash64("__t").alias("__v"), (F.length(key) > 0).alias("__shown")))
+    keyed = keyed.where("__shown").drop("__shown")  # used three times below; the texts are read and normalised once
     spellings = keyed.groupBy("__k").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi")).where("__lo <> __hi").select("__k")
     several = keyed.join(spellings, "__k", "left_semi")
     x, y = (several.select("__k", F.col("__id").alias(i), F.col("__v").alias(v)) for i, v in ((a, "__va"), (b, "__vb")))
