@@ -30,3 +30,24 @@ def prune_small(df: DataFrame, col: str, keep: float) -> DataFrame:
     """Rows whose magnitude is at least the quantile that leaves a share ``keep``."""
     edge = df.agg(F.percentile(F.abs(F.col(col)), F.lit(1 - keep)).alias("__e"))
     return df.join(F.broadcast(edge)).where(F.abs(F.col(col)) >= F.col("__e")).drop("__e")
+
+
+def codebook(df: DataFrame, col: str, levels: int, rounds: int = 12, pin_zero: bool = False) -> list[float]:
+    """Levels of a one-dimensional k-means over all values, begun at quantiles; one level may be pinned at 0.
+
+    Only the levels reach the driver: every round is one aggregate of sums and counts by nearest level.
+    """
+    vals = df.select(F.col(col).cast("double").alias("x")).where("x is not null")
+    first = vals.agg(F.percentile_approx("x", [(i + 0.5) / levels for i in range(levels)], 10_000).alias("q")).first().q or []
+    book = sorted({round(float(q), 9) for q in first})
+    for _ in range(rounds):
+        if pin_zero and book:
+            book[min(range(len(book)), key=lambda i: abs(book[i]))] = 0.0
+        got = {r.c: r.m for r in vals.groupBy(nearest_code(F.col("x"), book).alias("c")).agg(F.avg("x").alias("m")).collect()} if book else {}
+        new = sorted({round(got.get(i, v), 9) for i, v in enumerate(book)})
+        if new == book:
+            break
+        book = new
+    if pin_zero and book:
+        book[min(range(len(book)), key=lambda i: abs(book[i]))] = 0.0
+    return book

@@ -181,4 +181,44 @@ def t14_cut_again(spark: SparkSession, d: str) -> DataFrame:
     return t.select("request_id", X.encode_ids(F.slice("ids", 2, 30), 32, 101, 102).alias("ids"))
 
 
+_U = f"WITH {BENCH_TF_SQL}, n AS (SELECT count(*) AS n FROM bench_rows), df AS (SELECT term, count(*) AS df FROM tf, n GROUP BY term, n HAVING count(*) >= 2 AND count(*) <= 0.95 * n), w AS (SELECT subset_id, row_no, term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS v FROM tf JOIN df USING (term), n), u AS (SELECT subset_id, row_no, term, v / sqrt(sum(v * v) OVER (PARTITION BY subset_id, row_no)) AS x FROM w)"
+
+
+@query(f"{_U}, s AS (SELECT a.subset_id, a.row_no, sum(a.x * b.x) AS sim FROM u a JOIN u b ON a.subset_id = b.subset_id AND b.row_no = a.row_no + 1 AND a.term = b.term GROUP BY ALL), g AS (SELECT a.subset_id, a.row_no, list_dot_product(CAST(a.proj_bd AS DOUBLE[]), CAST(b.proj_bd AS DOUBLE[])) AS sim FROM feature_rows a JOIN feature_rows b ON a.subset_id = b.subset_id AND b.row_no = a.row_no + 1 WHERE a.proj_bd IS NOT NULL AND b.proj_bd IS NOT NULL) SELECT g.subset_id, g.row_no, round(0.35 * g.sim + 0.65 * coalesce(s.sim, 0), 6) AS sim FROM g LEFT JOIN s ON g.subset_id = s.subset_id AND g.row_no = s.row_no")
+def f15_blended_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity of successive rows as a weighted sum of the dense and the term similarity."""
+    u = bench_tfidf(spark, d)
+    nxt = u.select("subset_id", (F.col("row_no") - 1).alias("row_no"), "term", F.col("value").alias("other"))
+    terms = u.join(nxt, [*BENCH, "term"]).groupBy(*BENCH).agg(F.sum(F.col("value") * F.col("other")).alias("t"))
+    g = table(spark, d, "feature_rows").where("proj_bd is not null").select(*BENCH, "proj_bd")
+    pair = g.join(g.select("subset_id", (F.col("row_no") - 1).alias("row_no"), F.col("proj_bd").alias("other")), BENCH)
+    dense = pair.select(*BENCH, K.dot(F.col("proj_bd"), F.col("other")).alias("s"))
+    return dense.join(terms, BENCH, "left").select(*BENCH, F.round(0.35 * F.col("s") + 0.65 * F.coalesce("t", F.lit(0.0)), 6).alias("sim"))
+
+
+@query(r"SELECT b.subset_id, b.row_no, CASE WHEN length(regexp_replace(b.text, '[^\x{0400}-\x{052F}]', '', 'g')) * 8 >= greatest(length(b.text), 1) AND length(regexp_replace(b.text, '[^\x{0400}-\x{052F}]', '', 'g')) > 0 THEN -1.0 ELSE round(abs(CAST(f.g[1] AS DOUBLE)), 6) END AS isolation FROM bench_rows b JOIN feature_rows f USING (subset_id, row_no) WHERE f.g IS NOT NULL AND b.text IS NOT NULL AND NOT regexp_matches(b.text, '[\x{0590}-\x{06FF}\x{0900}-\x{097F}\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]')")
+def l08_other_scripts_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Rows in a script other than Latin are never isolated."""
+    t = table(spark, d, "bench_rows").join(table(spark, d, "feature_rows").select(*BENCH, "g"), BENCH).where("g is not null and text is not null")
+    t = t.where(~F.col("text").rlike(r"[\x{0590}-\x{06FF}\x{0900}-\x{097F}\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]"))
+    return t.select(*BENCH, F.when(X.script_id(F.col("text")) > 0, -1.0).otherwise(F.round(F.abs(F.get("g", F.lit(0)).cast("double")), 6)).alias("isolation"))
+
+
+@query()
+def c11_codebook(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.operators.codecs import codebook
+
+    t = table(spark, d, "feature_rows").where("g is not null").select(F.explode("g").alias("x"))
+    return spark.createDataFrame([(i, v) for i, v in enumerate(codebook(t, "x", 16))], "code int, value double")
+
+
+@query("WITH s AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM eval_items), p AS (SELECT a.item_id AS a, b.item_id AS b, len(list_filter(a.w, lambda x: NOT list_contains(b.w, x))) + len(list_filter(b.w, lambda x: NOT list_contains(a.w, x))) AS differing FROM s a JOIN s b ON a.item_id <> b.item_id) SELECT a AS item_id, b AS base, differing FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY differing, b) = 1")
+def r08_nearest_base(spark: SparkSession, d: str) -> DataFrame:
+    """For every item of the fixed table the other one with the smallest symmetric difference of words."""
+    s = table(spark, d, "eval_items").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"))
+    a, b = (s.select(F.col("item_id").alias(i), F.col("w").alias(f"w{i}")) for i in ("a", "b"))
+    p = a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", F.struct(X.symmetric_difference_size(F.col("wa"), F.col("wb")).alias("n"), F.col("b").alias("b")).alias("x"))
+    return p.groupBy(F.col("a").alias("item_id")).agg(F.min("x").alias("x")).select("item_id", F.col("x.b").alias("base"), F.col("x.n").alias("differing"))
+
+
 __all__ = ["bench_tfidf"]
