@@ -45,7 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     The files survive the loss of executors, unlike a local checkpoint.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # A checkpoint keeps the planner's size estimate. In loops with joins it is a product of products whose digits
+    # multiply with every round, until the arithmetic on it takes longer than the work: an absurd one is dropped.
+    if int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 1 << 62:
+        spark = df.sparkSession
+        out = DataFrame(spark._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().toRdd(), out._jdf.schema(), False), spark)
+    return out
 
 
 def spill_cache(df: DataFrame) -> DataFrame:
