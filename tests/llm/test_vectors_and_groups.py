@@ -74,6 +74,8 @@ def test_groups(spark, monkeypatch):
     want = pairs({i: g for i, g in enumerate(truth) if g >= 0})
     got = pairs(label)
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.05 * len(want)
+    many = markov.group_texts(flat, block=20, column_block=20)
+    assert pairs({r.pos: r.cluster for r in many.collect()}) == got
     ids = {r.request_id: r.cluster_ids for r in markov.responses(one, req).collect()}
     assert set(ids) == {5, 6, 8} and len(ids[5]) == len(t) + 3 and ids[5][-3:] == [-1] * 3 and ids[6] == [] and ids[8] == [-1]
     about = markov.describe(one, flat).collect()
