@@ -143,6 +143,31 @@ def test_sign_test(spark):
     assert w == {"a": 6.0, "b": 1.5}
 
 
+def test_sign_test_of_large_groups(spark):
+    from math import comb
+
+    counts = {"a": (20, 21), "b": (700, 640), "c": (640, 700), "d": (0, 5), "e": (5, 0), "f": (30, 30), "h": (15_100, 14_900)}
+    rows = [(g, v) for g, (b, w) in counts.items() for v in [1.0] * b + [-1.0] * w]
+    got = {r.g: r.p for r in statistics.sign_test(spark.createDataFrame(rows, "g string, x double"), "g", "x").collect()}
+    for g, (b, w) in counts.items():
+        n = b + w
+        term = total = comb(n, b)
+        for k in range(b, n):
+            term = term * (n - k) // (k + 1)
+            total += term
+        assert abs(got[g] - total / 2**n) < 1e-9, g
+
+
+def test_whole_paired_tests_take_every_row(spark, tmp_path):
+    from weftline.plans.registry import QUERIES
+
+    rows = [(i, "a", float(i)) for i in range(200)] + [(1000 + i, "b", float(i * i)) for i in range(301)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    sign = {r.g: (r.better, r.worse) for r in QUERIES["r01_sign_test_whole"](spark, str(tmp_path)).collect()}
+    assert sign == {"a": (100, 100), "b": (127, 174)}
+    assert {r.g: r.n for r in QUERIES["r02_signed_rank_whole"](spark, str(tmp_path)).collect()} == {"a": 200, "b": 301}
+
+
 def test_nibbles_round_trip(spark):
     df = spark.range(256).select(F.col("id").cast("int").alias("b"))
     c = codecs.unpack_nibbles(F.col("b"))

@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    lf = lambda m: F.aggregate(F.when(m >= 1, F.sequence(F.lit(1), m.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, x: s + F.log(x.cast("double")))
-    return lf(n) - lf(k) - lf(n - k)
+def _log_factorial(m: Column) -> Column:
+    """ln m! of a count: summed up to 16, from there Stirling's series, exact to 1e-12."""
+    few = F.aggregate(F.when((m >= 1) & (m <= 16), F.sequence(F.lit(1), m.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, x: s + F.log(x.cast("double")))
+    x = F.greatest(m, F.lit(1)).cast("double")
+    many = x * F.log(x) - x + F.log(x * 2 * math.pi) / 2 + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5)))
+    return F.when(m <= 16, few).otherwise(many)
 
 
 def sign_test(df: DataFrame, group: str, diff: str) -> DataFrame:
     """(group, better, worse, p): chance of at least as many positive differences under a fair coin; zeros dropped."""
     c = df.groupBy(group).agg(F.count(F.when(F.col(diff) > 0, 1)).alias("better"), F.count(F.when(F.col(diff) < 0, 1)).alias("worse"))
     n = F.col("better") + F.col("worse")
-    p = F.aggregate(F.sequence(F.col("better"), n), F.lit(0.0), lambda s, k: s + F.exp(_log_choose(n, k) - n * F.log(F.lit(2.0))))
+    # The tail that begins above the middle is summed and the other one is 1 minus it: there each term is the one
+    # before times (n - k) / (k + 1) <= 1, and after 20 roots of n they have shrunk by more than exp(-800) to 0.
+    upper = F.col("better") * 2 > n
+    least = F.when(upper, F.col("better")).otherwise(F.col("worse") + 1)
+    first = F.exp(_log_factorial(n) - _log_factorial(least) - _log_factorial(n - least) - n * F.log(F.lit(2.0)))
+    last = F.least(n - 1, least + F.ceil(F.sqrt(n) * 20))
+    step = lambda s, k: F.struct((s.t * (n - k) / (k + 1)).alias("t"), (s.p + s.t * (n - k) / (k + 1)).alias("p"))
+    ks = F.when(last >= least, F.sequence(least, last)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.aggregate(ks, F.struct(first.alias("t"), first.alias("p")), step, lambda s: s.p)
+    p = F.when(least > n, F.lit(1.0)).when(upper, tail).otherwise(1 - tail)
     return c.where(n > 0).select(group, "better", "worse", p.alias("p"))
 
 

@@ -299,11 +299,18 @@ _DIFF = "d AS (SELECT o_orderpriority AS g, o_orderkey, round(o_totalprice - avg
 
 
 def _diffs(spark: SparkSession, d: str) -> DataFrame:
+    """The SQL of R01 and R02 takes the first 60 orders of each priority."""
     g = Window.partitionBy("o_orderpriority")
     t = T(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), "o_orderkey", F.round(F.col("o_totalprice") - F.avg("o_totalprice").over(g), 2).alias("x"), F.row_number().over(g.orderBy("o_orderkey")).alias("r"))
     return t.where("r <= 60").select("g", "o_orderkey", "x")
 
 
+def _all_diffs(spark: SparkSession, d: str) -> DataFrame:
+    t = T(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), "o_orderkey", "o_totalprice")
+    mean = t.groupBy("g").agg(F.avg("o_totalprice").alias("m"))  # one row per priority
+    return t.join(F.broadcast(mean), "g").select("g", "o_orderkey", F.round(F.col("o_totalprice") - F.col("m"), 2).alias("x"))
+
+
 @query(f"WITH {_DIFF}, c AS (SELECT g, count(*) FILTER (x > 0) AS better, count(*) FILTER (x < 0) AS worse FROM d GROUP BY g), t AS (SELECT *, unnest(range(better, better + worse + 1)) AS k FROM c) SELECT g, better, worse, round(sum(exp(lgamma(better + worse + 1.0) - lgamma(k + 1.0) - lgamma(better + worse - k + 1.0) - (better + worse) * ln(2.0))), 6) AS p FROM t GROUP BY ALL")
 def r01_sign_test(spark: SparkSession, d: str) -> DataFrame:
     return statistics.sign_test(_diffs(spark, d), "g", "x").withColumn("p", F.round("p", 6))
@@ -314,6 +321,18 @@ def r02_signed_rank(spark: SparkSession, d: str) -> DataFrame:
     return statistics.signed_rank(_diffs(spark, d), "g", "x").select("g", "n", F.round("w_plus", 3).alias("w_plus"))
 
 
+@query()
+def r01_sign_test_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The sign test over all orders of each priority."""
+    return statistics.sign_test(_all_diffs(spark, d), "g", "x").withColumn("p", F.round("p", 6))
+
+
+@query()
+def r02_signed_rank_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The rank sum over all orders of each priority."""
+    return statistics.signed_rank(_all_diffs(spark, d), "g", "x").select("g", "n", F.round("w_plus", 3).alias("w_plus"))
+
+
 @query()
 def r03_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     b = sampling.bootstrap(T(spark, d, "cluster_responses"), "took_s", 2000, 1)
