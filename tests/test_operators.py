@@ -128,6 +128,19 @@ def test_singletons_and_rescue(spark):
     assert got[6] == 1 and got[7] == 3
 
 
+def test_mutual_merges_by_given_label(spark, tmp_path):
+    from weftline.plans.registry import QUERIES
+
+    far = [[-1.0, 0.1 * i, 1.0] for i in range(12)]
+    rows = [(0, 7, [1.0, 0.0, 0.0])] * 3 + [(0, 9, [0.9, 0.1, 0.0])] * 5 + [(0, 2, v) for v in far] + [(0, -1, [1.0, 0.01, 0.0])] * 2
+    # the same labels in another subset are other clusters; there 9 is too large
+    rows += [(1, 7, [0.0, 1.0, 0.0])] * 2 + [(1, 9, [0.0, 0.9, 0.1])] * 6 + [(1, None, [0.0, 1.0, 0.0]), (1, 8, None)]
+    t = [(i * 400, g, i, p, v) for i, (g, p, v) in enumerate(rows)]
+    spark.createDataFrame(t, "vec_id long, subset_id int, row_no int, pred int, g array<float>").write.parquet(str(tmp_path / "feature_rows.parquet"))
+    got = [(r.subset_id, r.a, r.b) for r in QUERIES["j09_mutual_merges"](spark, str(tmp_path)).collect()]
+    assert got == [(0, 7, 9)]
+
+
 def test_samples_are_repeatable(spark):
     df = spark.range(100)
     a = [r.id for r in sampling.uniform(df, "id", 10, 1).collect()]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import knn as K
+from weftline.session import cut
 
 FIRST_SINGLETON = 1_000_000
 
@@ -65,9 +66,13 @@ def rescue(df: DataFrame, id_col: str, cluster: str, vec_col: str, least: int, c
     return df.join(near, id_col, "left").select(id_col, F.coalesce("to", cluster).alias(cluster))
 
 
-def mutual_merges(df: DataFrame, cluster: str, vec_col: str, most: int, cos: float) -> DataFrame:
-    """(a, b, sim), a < b: clusters of at most ``most`` rows whose centres are each other's nearest and close enough."""
-    cents = K.centroids(df, cluster, vec_col).where(F.col("size") <= most)
-    nn = K.exact_knn(cents, cluster, "v", 1).select("src", "dst", (1 - F.col("dist")).alias("sim"))
-    back = nn.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return nn.join(back, ["src", "dst"]).where((F.col("src") < F.col("dst")) & (F.col("sim") >= cos)).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.round("sim", 6).alias("sim"))
+def mutual_merges(df: DataFrame, cluster: str, vec_col: str, most: int, cos: float, group: str | None = None) -> DataFrame:
+    """(group, a, b, sim), a < b: clusters of at most ``most`` rows whose centres are each other's nearest among such
+    clusters of their group and close enough.  Negative labels are noise and no cluster; without ``group`` all rows are one."""
+    g = F.col(group).cast("long") if group else F.lit(0).cast("long")
+    keyed = df.where(F.col(cluster) >= 0).withColumn("__k", F.struct(g.alias("g"), F.col(cluster).cast("long").alias("c")))
+    cents = K.centroids(keyed, "__k", vec_col).where(F.col("size") <= most).select(F.col("__k.g").alias("__of"), F.col("__k.c").alias("c"), "v")
+    nn = cut(K.exact_knn(cents, "c", "v", 1, group="__of").select("__of", "src", "dst", (1 - F.col("dist")).alias("sim")))
+    back = nn.select("__of", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    pair = nn.join(back, ["__of", "src", "dst"]).where((F.col("src") < F.col("dst")) & (F.col("sim") >= cos))
+    return pair.select(*([F.col("__of").alias(group)] if group else []), F.col("src").alias("a"), F.col("dst").alias("b"), F.round("sim", 6).alias("sim"))

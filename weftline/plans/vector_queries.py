@@ -136,8 +136,7 @@ def j09_mutual_merges(spark: SparkSession, d: str) -> DataFrame:
     from weftline.operators.labels import mutual_merges
 
     t = table(spark, d, "feature_rows").where("g is not null and pred is not null")
-    cell = F.pmod(F.col("vec_id"), F.lit(400)).cast("int")
-    return mutual_merges(t.select("vec_id", cell.alias("cluster"), "g"), "cluster", "g", 5, 0.5)
+    return mutual_merges(t.select("subset_id", F.col("pred").alias("cluster"), "g"), "cluster", "g", 5, 0.5, group="subset_id")
 
 
 @query(f"WITH {NN(10)}, t AS (SELECT src, dst FROM nn QUALIFY row_number() OVER (PARTITION BY src ORDER BY rank) <= 5), o AS (SELECT src, (dst * 7) % 500 AS dst FROM nn) SELECT n.src, round(count(o.dst) / 10.0, 6) AS recall FROM nn n LEFT JOIN (SELECT DISTINCT src, dst FROM o) o ON n.src = o.src AND n.dst = o.dst GROUP BY n.src")
