@@ -141,6 +141,30 @@ def test_mutual_merges_by_given_label(spark, tmp_path):
     assert got == [(0, 7, 9)]
 
 
+def test_density_clusters_cover_all_rows_of_a_large_group(spark, monkeypatch):
+    from weftline.operators import clustering
+
+    monkeypatch.setattr(clustering, "LIMIT", 300)  # the group was thinned to that many rows
+    rng = np.random.default_rng(0)
+    centres = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    sizes = [300] * 9 + [40]
+    x = np.concatenate([centres[i] + rng.normal(0, 0.05, (n, 16)) for i, n in enumerate(sizes)])
+    df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "g int, id long, v array<double>")
+    got = {r.id: r.cluster for r in clustering.density_clusters(df, "g", "id", "v").collect()}
+    lab = np.array([got[i] for i in range(len(x))])
+    small = lab[-40:]
+    mine = np.bincount(small[small >= 0]).argmax() if (small >= 0).any() else -2
+    assert (small == mine).sum() >= 35 and not (lab[:-40] == mine).any()
+
+
+def test_core_distances_against_brute_force():
+    from weftline.operators.clustering import core_distances
+
+    x = np.random.default_rng(1).normal(size=(50, 4))
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)
+    assert np.allclose(core_distances(x, 10, rows=7), d[:, 9])
+
+
 def test_samples_are_repeatable(spark):
     df = spark.range(100)
     a = [r.id for r in sampling.uniform(df, "id", 10, 1).collect()]
