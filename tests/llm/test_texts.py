@@ -43,6 +43,13 @@ def test_groups_cover_every_row(spark):
     assert nearcopies.similar_groups(frame(spark, []), "doc_id", "text").count() == 0
 
 
+def test_equal_texts_shorter_than_a_shingle_are_copies(spark):
+    long = " ".join(base(1))
+    rows = [(1, "alone"), (2, "Alone"), (3, "two words"), (4, long), (5, "two words"), (6, "words two"), (7, "two words"), (8, "a b c d"), (9, "a b c d e"), (10, ""), (11, long), (12, "a b c d")]
+    got = {r.doc_id: (r.group_id, r.n_copies) for r in nearcopies.similar_groups(frame(spark, rows), "doc_id", "text").collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 3), 5: (3, 3), 7: (3, 3), 6: (6, 1), 4: (4, 2), 11: (4, 2), 8: (8, 2), 12: (8, 2), 9: (9, 1), 10: (10, 1)}
+
+
 def test_covering_guarantee():
     width = 7
     odd = np.array([[bin((v + 1) & (i + 1)).count("1") & 1 for i in range(width)] for v in range(width)], bool)

@@ -1,6 +1,7 @@
 """Near-duplicate records with small edits by covering locality-sensitive hashing (problem 6).
 
-A record is the set of its distinct runs of ``shingle`` successive words.  ``parts * width`` minimum hashes sketch the
+A record is the set of its distinct runs of ``shingle`` successive words; one of fewer words is the set of the one run
+of all its words.  ``parts * width`` minimum hashes sketch the
 set.  The sketch is cut into parts of ``width = 2 ** (radius + 1) - 1`` coordinates; inside a part, coordinate ``i``
 carries the non-zero vector ``i + 1`` of GF(2)^(radius+1), and table ``v`` reads the coordinates whose inner product
 with ``v`` is odd.  For any ``radius`` coordinates there is a ``v`` orthogonal to all of their vectors, so two sketches
@@ -30,6 +31,16 @@ from weftline.operators.graph import connected_components
 from weftline.session import cut, spread
 
 
+def _whole(w: words.Words, rows: np.ndarray) -> np.ndarray:
+    """A hash of all words of each of the rows, in order; it depends on their number."""
+    count = np.diff(w.off)[rows]
+    h = words.mix(count.astype(np.uint64))
+    for k in range(count.max()):
+        more = np.flatnonzero(count > k)
+        h[more] = words.mix(h[more] * np.uint64(0x9E3779B97F4A7C15) + w.hash[w.off[rows[more]] + k])
+    return h
+
+
 def _sets(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: int, parts: int, radius: int) -> DataFrame:
     """(id, h, sh, bands): class digest, sorted shingle hashes, and covering keys of every record that takes part."""
     width = 2 ** (radius + 1) - 1
@@ -43,6 +54,11 @@ def _sets(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: in
                 w = words.words_of(b.column(1))
                 h, off = words.shingles(w, shingle)
                 n = np.diff(off)
+                few = np.flatnonzero((n == 0) & (np.diff(w.off) > 0))
+                if len(few):
+                    # one shingle of all words, in the place of the runs that the row does not have
+                    h = np.insert(h, off[few], _whole(w, few))
+                    n[few] = 1
                 pick = np.flatnonzero((np.diff(w.off) >= min_words) & (n > 0))
                 if not len(pick):
                     continue
