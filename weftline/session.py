@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark import StorageLevel
@@ -30,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set one only where none is configured."""
+    """Use the cluster's shared checkpoint folder; a local session, as in tests, gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = os.path.join(tempfile.gettempdir(), "weftline-checkpoints")
         sc.setCheckpointDir(shared)
 
@@ -42,16 +45,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
 
-    The files survive the loss of executors, unlike a local checkpoint.
+    The files survive the loss of executors, unlike a local checkpoint.  The planner's size estimate is dropped too: a
+    checkpoint would keep that of the plan that made it, which tells little about the rows (and less about what is
+    exploded from them), so a table that grows with the data could be broadcast unmeasured.  Without an estimate only
+    the adaptive planner broadcasts, by the measured size of a shuffle.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    # A checkpoint keeps the planner's size estimate. In loops with joins it is a product of products whose digits
-    # multiply with every round, until the arithmetic on it takes longer than the work: an absurd one is dropped.
-    if int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 1 << 62:
-        spark = df.sparkSession
-        out = DataFrame(spark._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().toRdd(), out._jdf.schema(), False), spark)
-    return out
+    spark, out = df.sparkSession, df.checkpoint(eager=True)
+    plain = spark._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().toRdd(), out._jdf.schema(), False)
+    return DataFrame(plain, spark)
 
 
 def spill_cache(df: DataFrame) -> DataFrame:
