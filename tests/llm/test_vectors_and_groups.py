@@ -46,40 +46,74 @@ def test_traversal_order():
         assert taken.sum() == budget and total[taken].max() <= total[~taken].min(initial=np.inf)
 
 
-def texts():
-    rng = np.random.default_rng(0)
-    general = [f"thing{i}" for i in range(60)]
-    matters = [[f"name{g}{c}" for c in "abcd"] for g in range(4)]
-    say = ["i have been looking at the {0} and the {1} for a while", "does anyone know why my {0} changed the {1} today", "after all the {0} went to {1} without any warning"]
+PHRASES = ["i have been looking at {0} for a while", "does anyone know why {0} changed {1}", "after all that {0} went wrong without warning", "my brother told me about {0} and {1}",
+           "you can find {0} next to {1} these days", "it seems {0} will never be finished", "we waited for {0} the whole morning", "the report on {0} came out last week",
+           "nobody expected {0} to matter this much", "there is more to {0} than people say", "she wrote a long note on {0}", "they moved {0} closer to {1} again"]
+
+
+def texts(groups=20, each=12, strays=60, seed=0):
+    """Groups that share names, told in everybody's phrases; strays name what nobody else does."""
+    rng = np.random.default_rng(seed)
     out = []
-    for g, m in enumerate(matters):
-        for _ in range(14):
-            out.append((g, " ".join(rng.choice(say).format(*rng.choice(m, 2, replace=False)) + "." for _ in range(3))))
-    for _ in range(20):
-        out.append((-1, " ".join(rng.choice(say).format(*rng.choice(general, 2, replace=False)) + "." for _ in range(2))))
+    say = lambda names, n: " ".join(rng.choice(PHRASES).format(*rng.choice(names, 2, replace=False)) + "." for _ in range(n))
+    for g in range(groups):
+        out += [(g, say([f"name{g}x{c}" for c in "abcde"], 4)) for _ in range(each)]
+    out += [(-1, say([f"thing{x}" for x in rng.integers(0, 400, 6)], 3)) for _ in range(strays)]
     return [out[i] for i in rng.permutation(len(out))]
 
 
-def test_groups(spark, monkeypatch):
-    monkeypatch.setattr(markov, "SURPRISAL", 2.0)
-    monkeypatch.setattr(markov.content_words, "__defaults__", (1.5,))
+def pairs(lab):
+    return {(a, b) for a in lab for b in lab if a < b and lab[a] == lab[b]}
+
+
+def group(spark, requests, **how):
+    req = spark.createDataFrame(requests, "request_id long, texts array<string>").withColumn("pos", F.lit(9))
+    got = markov.group_texts(markov.request_texts(req), **how).cache()
+    return req, got, {i: {r.pos: r.cluster for r in got.collect() if r.request_id == i} for i, _ in requests}
+
+
+def test_groups(spark):
     t = texts()
     rows = [(5, [x for _, x in t] + [None, "", "hi"]), (6, []), (7, None), (8, [None])]
-    req = spark.createDataFrame(rows, "request_id long, texts array<string>").withColumn("pos", F.lit(9))
-    flat = markov.request_texts(req)
-    one = markov.group_texts(flat).cache()
-    label = {r.pos: r.cluster for r in one.collect()}
-    truth = [g for g, _ in t]
-    pairs = lambda lab: {(a, b) for a in lab for b in lab if a < b and lab[a] == lab[b]}
-    want = pairs({i: g for i, g in enumerate(truth) if g >= 0})
-    got = pairs(label)
-    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.05 * len(want)
-    many = markov.group_texts(flat, block=20, column_block=20)
-    assert pairs({r.pos: r.cluster for r in many.collect()}) == got
+    req, one, label = group(spark, rows)
+    want = pairs({i: g for i, (g, _) in enumerate(t) if g >= 0})
+    got = pairs(label[5])
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
     ids = {r.request_id: r.cluster_ids for r in markov.responses(one, req).collect()}
     assert set(ids) == {5, 6, 8} and len(ids[5]) == len(t) + 3 and ids[5][-3:] == [-1] * 3 and ids[6] == [] and ids[8] == [-1]
-    about = markov.describe(one, flat).collect()
+    about = markov.describe(one, markov.request_texts(req)).collect()
     assert all(r.size >= markov.LEAST_SIZE and len(r.typical) == 3 for r in about)
+    # neither the blocks of columns nor the other requests matter
+    _, _, more = group(spark, [rows[0], (9, [x for _, x in texts(8, 10, 10, 3)])], column_block=64)
+    assert pairs(more[5]) == got and more[9]
+
+
+def test_copies_lose_no_member(spark):
+    t = [x for _, x in texts(6, 12, 20, 1)]
+    _, _, plain = group(spark, [(1, t)])
+    _, _, full = group(spark, [(1, t + [t[0], t[0].upper()] * 30)])
+    assert pairs({p: c for p, c in full[1].items() if p < len(t)}) == pairs(plain[1])
+    assert all(full[1].get(p) == full[1].get(0) for p in range(len(t), len(t) + 60))
+
+
+@pytest.mark.parametrize("cell", [120, 16_384])
+def test_index_finds_the_neighbours(spark, cell):
+    t = texts(30, 14, 60, 2)
+    req = spark.createDataFrame([(1, [x for _, x in t])], "request_id long, texts array<string>")
+    _, reps = markov.representatives(markov.request_texts(req))
+    vec = markov.vectors(reps).cache()
+    x = np.zeros((len(t), 5000))
+    col = {}
+    for r in vec.collect():
+        x[r.pos, col.setdefault(r.word, len(col))] = r.val
+    c = np.rint(x @ x.T * 1e5) / 1e5
+    np.fill_diagonal(c, 0)
+    want = set()
+    for i in range(len(t)):
+        best = [j for j in np.lexsort((np.arange(len(t)), -c[i]))[: markov.KNN] if c[i, j] >= markov.LEAST_COS]
+        want |= {(i, int(j)) for j in best} | {(int(j), i) for j in best}
+    got = {(r.pos, r.other) for r in markov.similarity_graph(vec, cell).collect()}
+    assert len(want) > 1000 and len(got & want) >= (0.99 if cell > 1000 else 0.9) * len(want)
 
 
 def test_rounds_do_not_depend_on_blocks():
