@@ -65,3 +65,10 @@ def test_look_alike_pairs(spark, n):
     df = spark.createDataFrame(rows, "id long, text string").withColumn("a", F.lit(0)).withColumn("__k", F.lit(1))
     got = {(r.a, r.b) for r in visible.look_alike_pairs(df, "id", "text", "a", "b").collect()}
     assert got == ({(1, 2), (2, 3)} if n else set())
+
+
+def test_many_copies_and_one_variant(spark):
+    copies = spark.range(20_000).select("id", F.lit("one common text").alias("text"))
+    df = copies.unionByName(spark.createDataFrame([(90_000, "one\u200b common text"), (None, "one common  text")], "id long, text string"))
+    got = visible.look_alike_pairs(df, "id", "text", "a", "b")
+    assert got.where("b = 90000").distinct().count() == 20_000 and got.count() == 20_000

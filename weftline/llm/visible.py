@@ -347,16 +347,22 @@ def visible_key(col: Column) -> Column:
 def look_alike_pairs(df: DataFrame, id_col: str, text_col: str, a: str, b: str) -> DataFrame:
     """Pairs of rows whose texts look the same but are not equal as strings, ``a`` < ``b``.
 
-    Rows are shuffled as (16-byte digest of the key, 8-byte hash of the text, id); texts never are.  Digest classes
-    with a single spelling are removed by an aggregate that combines on the map side before any pairing, so copies of
-    one spelling, however many, never meet.  Texts without visible characters and nulls take no part.
+    Rows are shuffled as (16-byte digest of the key, 8-byte hash of the text, id); texts never are.  Rows of one
+    spelling are counted as one with the map-side combine, and only keys with several spellings go on: first the
+    spellings of a key are paired, then the rows of either spelling are joined to the pair.  Rows of one spelling never
+    meet, so the work is that of the spellings and of the rows returned, however many copies there are.  Texts without
+    visible characters and nulls take no part.
     """
     src = spread(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")))
     key = visible_key(F.col("__t"))
     # No filter on the key before the cut: the optimiser would move it below and normalise every text twice.
     keyed = cut(src.select("__id", F.unhex(F.md5(key)).alias("__k"), F.xxhash64("__t").alias("__v"), (F.length(key) > 0).alias("__shown")))
-    keyed = keyed.where("__shown").drop("__shown")  # used three times below; the texts are read and normalised once
-    spellings = keyed.groupBy("__k").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi")).where("__lo <> __hi").select("__k")
-    several = keyed.join(spellings, "__k", "left_semi")
-    x, y = (several.select("__k", F.col("__id").alias(i), F.col("__v").alias(v)) for i, v in ((a, "__va"), (b, "__vb")))
-    return x.join(y, "__k").where((F.col(a) < F.col(b)) & (F.col("__va") != F.col("__vb"))).select(a, b)
+    keyed = keyed.where("__shown and __id is not null").drop("__shown")  # used below; the texts are read and normalised once
+    several = keyed.groupBy("__k").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi")).where("__lo <> __hi").select("__k")
+    rows = cut(keyed.join(several, "__k", "left_semi"))
+    spellings = rows.select("__k", "__v").distinct()
+    one, two = (spellings.select("__k", F.col("__v").alias(v)) for v in ("__va", "__vb"))
+    met = one.join(two, "__k").where("__va < __vb")
+    side = lambda i, v: rows.select("__k", F.col("__v").alias(v), F.col("__id").alias(i))
+    both = met.join(side("__x", "__va"), ["__k", "__va"]).join(side("__y", "__vb"), ["__k", "__vb"])
+    return both.select(F.least("__x", "__y").alias(a), F.greatest("__x", "__y").alias(b)).where(F.col(a) < F.col(b))
