@@ -30,6 +30,10 @@ def test_index_against_brute_force(spark, monkeypatch, block):
     assert got == brute(x, ids, 5)
     some = {(r.id, r.neighbour) for r in neighbours.nearest(df, "vec_id", "grp", ["g"], k=5, budget=30).collect()}
     assert len(some & got) >= 0.5 * len(got)
+    exact = {(r.id, r.neighbour) for r in neighbours.nearest(df, "vec_id", "grp", ["g"], k=5, recall=1.0).collect()}
+    assert exact == got
+    measured = {(r.id, r.neighbour) for r in neighbours.nearest(df, "vec_id", "grp", ["g"], k=5).collect()}
+    assert len(measured & got) >= 0.97 * len(got)
 
 
 def test_no_vectors(spark):

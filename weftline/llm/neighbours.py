@@ -6,6 +6,11 @@ holds for every first-half centroid the next second-half centroid, and its least
 hold ``budget`` vectors.  The frontier is the heap of the published algorithm, kept as one row of an array per query so
 that many queries pop in step.  All vectors of the cells taken are reranked by the exact cosine.
 
+How many must be taken grows with the group and depends on the vectors, so ``budget`` is measured: of every field and
+size class of groups (powers of two), ``PROBES`` vectors chosen by hash are compared with all rows of their groups, the
+place of each true neighbour in the query's own traversal is counted, and the budget is the one that reaches the share
+``recall`` of them.  With ``recall`` of 1 every cell is visited and the result is exact.
+
 Layout for large groups: cells are packed into blocks of about ``BLOCK`` vectors, cells above that size are split; a
 task holds one block of queries and one block of candidates, never a whole group.  Equal vectors are searched once and
 only the ``k + 1`` smallest ids of each are kept as candidates, which is all that ranks need.
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +31,8 @@ from weftline.session import cut
 
 #: Vectors that a codebook is fitted on, at most, and rounds of k-means.
 FIT_ROWS, FIT_ROUNDS = 20_000, 12
+#: Vectors of each field and size class that the budget is measured on, and the share of neighbours to be found.
+PROBES, RECALL = 200, 0.99
 BLOCK = 4096
 
 
@@ -104,11 +112,80 @@ def rank_rows(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return row[place < k], col[place < k]
 
 
-def nearest(df: DataFrame, id_col: str, group_col: str, fields: list[str], k: int = 10, budget: int = 2000, cells_for: int = 16) -> DataFrame:
+def size_class(n: int) -> int:
+    return int(n).bit_length()
+
+
+def measured_budgets(celled: DataFrame, cells: DataFrame, books: dict, k: int, recall: float) -> dict[tuple[str, int], int]:
+    """Budget of each (field, size class of the group), from exact neighbours of a bounded sample of queries."""
+    spark = celled.sparkSession
+    klass = F.length(F.bin("total"))
+    sizes = cells.groupBy("field", "grp").agg(F.sum("n").alias("total")).select("field", "grp", klass.alias("class"))
+    chosen = Window.partitionBy("field", "class").orderBy(F.xxhash64("rep", "grp"), "rep")
+    picked = celled.join(sizes, ["field", "grp"]).withColumn("r", F.row_number().over(chosen)).where(F.col("r") <= PROBES)
+    probes = picked.select("field", "grp", "class", "rep", "v").toArrow()  # PROBES for each field and power of two
+    shared = spark.sparkContext.broadcast(probes)
+
+    def search(batches):  # noqa: ANN001, ANN202
+        t, by = shared.value, {}
+        for f, g in set(zip(t.column("field").to_pylist(), t.column("grp").to_pylist(), strict=True)):
+            p = t.filter(pc.and_(pc.equal(t.column("field"), f), pc.equal(t.column("grp"), g)))
+            by[f, g] = p.column("rep").to_numpy(), _matrix(p.column("v"))
+        for b in batches:
+            rows = pa.Table.from_batches([b])
+            for f, g in {*zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)} & by.keys():
+                part = rows.filter(pc.and_(pc.equal(rows.column("field"), f), pc.equal(rows.column("grp"), g)))
+                reps, q = by[f, g]
+                ids = part.column("rep").to_numpy()
+                sim = q @ _matrix(part.column("v")).T
+                sim[reps[:, None] == ids[None]] = -2
+                row, col = rank_rows(sim, ids, k)
+                keep = sim[row, col] > -1.5
+                row, col = row[keep], col[keep]
+                at = pa.array(col)
+                cols = [pa.array([f] * len(row), pa.string()), pa.array(np.full(len(row), g, np.int64)), pa.array(reps[row]), part.column("rep").take(at).combine_chunks(), pa.array(sim[row, col]), part.column("c1").take(at).combine_chunks(), part.column("c2").take(at).combine_chunks()]
+                yield pa.RecordBatch.from_arrays(cols, names=["field", "grp", "probe", "rep", "sim", "c1", "c2"])
+
+    best = Window.partitionBy("field", "grp", "probe").orderBy(F.desc("sim"), "rep")
+    true = celled.select("field", "grp", "rep", "v", "c1", "c2").mapInArrow(search, "field string, grp long, probe long, rep long, sim double, c1 int, c2 int")
+    true = true.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("field", "grp", "probe", "c1", "c2")
+    groups = cells.select("field", "grp", "c1", "c2", "n")
+    groups = groups.toDF(*groups.columns)
+    halves = spark.sparkContext.broadcast(books)
+
+    def count(key: tuple, near: pa.Table, right: pa.Table) -> pa.Table:
+        """Of each true neighbour, how many vectors the query's traversal takes up to its cell."""
+        f, g = key[0].as_py(), key[1].as_py()
+        t = shared.value
+        t = t.filter(pc.and_(pc.equal(t.column("field"), f), pc.equal(t.column("grp"), g)))
+        need = np.zeros(0, np.int64)
+        if near.num_rows:
+            reps, x = t.column("rep").to_numpy(), _matrix(t.column("v"))
+            h = x.shape[1] // 2
+            b1, b2 = halves.value[f]
+            d1, d2 = _distance(x[:, :h], b1), _distance(x[:, h:], b2)
+            a, b, n = (right.column(c).to_numpy() for c in ("c1", "c2", "n"))
+            order = np.argsort(reps)
+            q = order[np.searchsorted(reps[order], near.column("probe").to_numpy())]
+            mine = d1[q, near.column("c1").to_numpy()] + d2[q, near.column("c2").to_numpy()]
+            need = np.zeros(len(q), np.int64)
+            for i in np.unique(q):
+                d = d1[i, a] + d2[i, b]
+                by = np.argsort(d)
+                total = np.concatenate([[0], np.cumsum(n[by])])
+                need[q == i] = total[np.searchsorted(d[by], mine[q == i] - 1e-12)] + 1
+        return pa.table({"field": pa.array([f] * len(need), pa.string()), "class": pa.array(np.full(len(need), size_class(right.column("n").to_numpy().sum()), np.int32)), "need": need})
+
+    needs = true.groupBy("field", "grp").cogroup(groups.groupBy("field", "grp")).applyInArrow(count, "field string, class int, need long")
+    rows = needs.groupBy("field", "class").agg(F.percentile("need", F.lit(recall)).alias("b")).collect()
+    return {(r["field"], r["class"]): int(np.ceil(r["b"])) for r in rows}
+
+
+def nearest(df: DataFrame, id_col: str, group_col: str, fields: list[str], k: int = 10, budget: int | None = None, recall: float = RECALL, cells_for: int = 16) -> DataFrame:
     """(field, group, id, neighbour, similarity, place): the ``k`` most similar other vectors of the same group.
 
-    ``budget``: least number of candidates reranked exactly; ``cells_for``: vectors wanted in a cell, which sets the
-    size of the codebooks (8 to 256 centroids per half).
+    ``budget``: least number of candidates reranked exactly, measured for ``recall`` where none is given;
+    ``cells_for``: vectors wanted in a cell, which sets the size of the codebooks (8 to 256 centroids per half).
     """
     spark = df.sparkSession
     one = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("array<float>").alias("v")) for f in fields]))
@@ -139,7 +216,7 @@ def nearest(df: DataFrame, id_col: str, group_col: str, fields: list[str], k: in
         for b in batches:
             t = pa.Table.from_batches([b])
             for f in books:
-                part = t.filter(pa.compute.equal(t.column("field"), f))
+                part = t.filter(pc.equal(t.column("field"), f))
                 if not part.num_rows:
                     continue
                 x = _matrix(part.column("v"))
@@ -154,6 +231,12 @@ def nearest(df: DataFrame, id_col: str, group_col: str, fields: list[str], k: in
     cells = celled.groupBy("field", "grp", "c1", "c2").agg(F.count(F.lit(1)).alias("n"))
     cells = cells.withColumn("block", F.floor((F.sum("n").over(own) - F.col("n")) / BLOCK).cast("int")).withColumn("subs", F.ceil(F.col("n") / BLOCK).cast("int"))
     cells = cut(cells)
+    if recall >= 1:
+        budgets = {}
+    elif budget is None:
+        budgets = measured_budgets(celled, cells, books, k, recall)
+    else:
+        budgets = {(f, c): budget for f in dims for c in range(64)}
     placed = celled.join(cells.select("field", "grp", "c1", "c2", "block", "subs"), ["field", "grp", "c1", "c2"])
     placed = cut(placed.withColumn("sub", F.when(F.col("subs") > 1, F.pmod(F.xxhash64("rep"), F.col("subs"))).otherwise(0).cast("int")).drop("subs"))
     blocks = cells.select("field", "grp", "block", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")).distinct()
@@ -180,10 +263,12 @@ def nearest(df: DataFrame, id_col: str, group_col: str, fields: list[str], k: in
         h = x.shape[1] // 2
         rows_at, to_b, to_s, cell_lists = [], [], [], []
         step = max(1, 4_000_000 // count.size)
+        n_all = int(count.sum())
+        enough = budgets.get((f, size_class(n_all)), n_all)  # a class without a budget has no more than one vector
         visited = {}
         for lo in range(0, len(order), step):
             at = order[lo : lo + step]
-            taken = traverse(_distance(x[at, :h], c1), _distance(x[at, h:], c2), count, budget)
+            taken = traverse(_distance(x[at, :h], c1), _distance(x[at, h:], c2), count, enough)
             for c in np.unique(home[at]):
                 visited[c] = visited.get(c, False) | taken[home[at] == c].any(0)
         for c, seen in visited.items():
