@@ -114,7 +114,7 @@ def similar_sets(
     keys = reps.select("id", F.size("sh").alias("n"), F.explode("bands").alias("key"))
     x, y = (keys.select("key", F.col("id").alias(i), F.col("n").alias(m)) for i, m in (("a", "na"), ("b", "nb")))
     fits = (F.col("a") < F.col("b")) & (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    pairs = cut(x.join(y, "key").where(fits).select("a", "b").distinct())
+    pairs = cut(x.join(y.hint("merge"), "key").where(fits).select("a", "b").distinct())
     sh = reps.select("id", "sh")
     both = pairs.join(sh.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a").join(sh.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), F.size("sa").alias("size_a"), F.size("sb").alias("size_b"))
