@@ -34,14 +34,15 @@ from weftline.session import cut, spread
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Steps of the grid on which windows are filled; lengths in a combination; salts that split a hot length.
 GRID, DEPTH, SALTS = 32, 3, 64
+#: Budgets that one call packs; every budget is a plan of its own.
+MOST_BUDGETS = 1000
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str, pattern: str):  # noqa: ANN202
+def _encoding(vocabulary: bytes, pattern: str):  # noqa: ANN202
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -50,10 +51,14 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 
 def token_lengths(df: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """(id, n_tokens) of every row with an id and a text, in tokens of a public tokenizer's vocabulary file."""
+    """(id, n_tokens) of every row with an id and a text, in tokens of a public tokenizer's vocabulary file.
+
+    The file is read by the driver and travels with the job."""
+    with open(tokenizer, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(tokenizer, pattern)
+        enc = _encoding(shared.value, pattern)
         for b in batches:
             n = [len(x) for x in enc.encode_ordinary_batch(b.column(1).to_pylist(), num_threads=1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=["id", "n_tokens"])
@@ -200,7 +205,8 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     """(id, piece, container, place, offset, n_tokens) for items (id, n_tokens).
 
     ``piece`` counts the parts of a cut item from 0; ``place`` and ``offset`` are the item's place and first token in
-    its container.  The plan that reaches the driver and the tasks has at most ``capacity`` lengths.
+    its container.  Counts of at most ``capacity`` lengths reach the driver and make the plan;
+    the places of (length, salt) cells are joined.
     """
     spark = items.sparkSession
     full = F.floor(F.col("n_tokens") / capacity).cast("int")
@@ -209,12 +215,8 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     parts = items.select("id", F.when(F.col("n_tokens") >= capacity, full).otherwise(0).alias("piece"), rest.alias("n_tokens"), F.col("n_tokens").alias("all"))
     parts = parts.where("n_tokens > 0 or all = 0").drop("all")
     pieces = cut(parts.unionByName(whole).withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int")))
-    cells = pieces.groupBy("n_tokens", "salt").agg(F.count(F.lit(1)).alias("n")).collect()  # capacity * SALTS at most
-    hist: dict[int, int] = {}
-    base: list[tuple[int, int, int]] = []
-    for r in sorted(cells, key=lambda r: (r.n_tokens, r.salt)):
-        base.append((r.n_tokens, r.salt, hist.get(r.n_tokens, 0)))
-        hist[r.n_tokens] = hist.get(r.n_tokens, 0) + r.n
+    cells = pieces.groupBy("n_tokens", "salt").agg(F.count(F.lit(1)).alias("n"))
+    hist = {r.n_tokens: r.n for r in cells.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}
     empty = hist.pop(0, 0)
     patterns = plan(hist, capacity)
     if empty:
@@ -232,9 +234,10 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
             used[k] = lo + n
             offset += k * per
         container += times
-    first = F.broadcast(spark.createDataFrame(base, "n_tokens int, salt int, base long")) if base else None
-    if first is None:
+    if not spans:
         return spark.createDataFrame([], "id long, piece int, container long, place int, offset int, n_tokens int")
+    before = Window.partitionBy("n_tokens").orderBy("salt")  # SALTS rows at most
+    first = cells.select("n_tokens", "salt", (F.sum("n").over(before) - F.col("n")).alias("base"))
     rank = Window.partitionBy("n_tokens", "salt").orderBy("id", "piece")
     ranked = pieces.withColumn("r", F.row_number().over(rank) - 1).join(first, ["n_tokens", "salt"]).select("id", "piece", "n_tokens", (F.col("r") + F.col("base")).alias("rank"))
     spans.sort()
@@ -270,7 +273,11 @@ def pack_budgets(docs: DataFrame, budgets: DataFrame, id_col: str = "doc_id", te
     """(budget_id, id, piece, container, place, offset, n_tokens) for every capacity of a stated small set of budgets."""
     items = cut(token_lengths(docs, id_col, text_col, tokenizer))
     out = None
-    for r in sorted((r for r in budgets.select("budget_id", "capacity_tokens").distinct().limit(1000).collect() if (r.capacity_tokens or 0) > 0), key=lambda r: r.budget_id):
+    stated = budgets.select("budget_id", "capacity_tokens").where("capacity_tokens > 0").distinct()
+    n = stated.count()
+    if n > MOST_BUDGETS:
+        raise ValueError(f"{n} budgets; at most {MOST_BUDGETS} are packed by one query")
+    for r in sorted(stated.collect(), key=lambda r: r.budget_id):
         one = pack(items, r.capacity_tokens).select(F.lit(r.budget_id).alias("budget_id"), F.col("id").alias(id_col), "piece", "container", "place", "offset", "n_tokens")
         out = one if out is None else out.unionByName(one)
     if out is None:
