@@ -70,7 +70,19 @@ def test_leaks_with_places(spark):
     assert r.n_words == 30 and doc[r.begin_char : r.end_char].lower() == item
     assert leaks.leaked_items(docs.limit(0), items).count() == 0
     assert leaks.leaked_items(docs, items.limit(0)).count() == 0
-    assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(docs, items, block=1).collect()} == set(got)
+    with pytest.raises(ValueError, match="at most 10"):
+        leaks.leaked_items(docs, items, most_chars=10)
+
+
+@pytest.mark.parametrize("run", [1, 4, 5])
+def test_leaks_against_brute_force(spark, run):
+    rng = np.random.default_rng(run)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d"], n)) for n in rng.integers(0, 14, 60)]
+    docs, items = list(enumerate(texts[:40])), list(enumerate(texts[40:]))
+    runs = lambda t: {tuple(t.split()[j : j + run]) for j in range(len(t.split()) - run + 1)}
+    want = {(i, j) for i, t in docs for j, x in items if runs(t) & runs(x)}
+    found = leaks.leaked_items(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), run=run)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
 
 
 def test_distinctive_terms_against_plain_em(spark):
@@ -125,6 +137,25 @@ def test_languages_held_out_and_mixed(spark):
     assert found == {(100, "en"), (101, "de"), (102, "de"), (102, "en")}
     none = df.where("false")
     assert languages.language_segments(none).count() == 0
+    # sentences too short by themselves are told together
+    few = spark.createDataFrame([(1, "das boot. mein freund liest. ein berg. am ufer.", None), (2, "the hill. my friend. a long letter. the shore.", "de"), (3, "ja. ok.", "en")], df.drop("segments").schema)
+    model = languages.fit_languages(df)
+    told = {r.doc_id: [(x.lang, x.confidence > 0.5) for x in r.langs] for r in languages.language_shares(languages.language_segments(few, model)).collect()}
+    assert told == {1: [("de", True)], 2: [("en", True)], 3: []}
+
+
+def test_calibrated_rejection_and_confidence():
+    rng = np.random.default_rng(0)
+    words_ = {0: EN, 1: DE}
+    vocab = {k: " ".join(v).split() for k, v in words_.items()}
+    texts_ = [" ".join(rng.choice(vocab[i % 2], 9)) + "." for i in range(800)]
+    m = languages.fit(texts_, [i % 2 for i in range(800)], 2)
+    fresh = [" ".join(rng.choice(vocab[i % 2], 9)) + "." for i in range(400)]
+    best, conf, _ = languages.tell(m, sentences_of(pa.array(fresh)))
+    assert (best == np.arange(400) % 2).mean() > 0.98 and (best < 0).mean() < 0.02 and conf.min(where=best >= 0, initial=1) > 0.5
+    assert m.reliability < 0.1
+    other = ["zxq vvk wqx jjy qqz kxv zzw xqj", "мама мыла раму и потом ушла гулять", "łąka żółw śćź ęół ńąś źżć łół óść"]
+    assert (languages.tell(m, sentences_of(pa.array(other)))[0] == -1).all()
 
 
 @pytest.mark.parametrize("raw", ["en", "EN", "en-GB", "eng", " English "])

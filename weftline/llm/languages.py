@@ -3,10 +3,16 @@
 One interpolated Kneser-Ney character model per language, all kept in sorted key arrays: for every n-gram seen in any
 language the interpolated log probability in each language, and for every context its back-off weight in each.  A
 position is scored by the longest stored n-gram, backing off otherwise; a sentence gets the language with the lowest
-cross-entropy per character, or none where that exceeds what held-out sentences of the language show.
+cross-entropy per character, or none where that exceeds what held-out sentences of the language show.  Sentences too
+short to be told by themselves are told together, as one text, where their document has no other.
 
-The models are fitted on a bounded sample of labelled rows (``FIT_DOCS`` documents per language of at most
-``FIT_CHARS`` characters each).  Labels may be wrong and texts mixed, so sentences whose n-grams mostly carry another
+Rejection and confidence are calibrated on the tenth of the sentences that no model has seen.  A sentence is rejected
+above mean + z deviations of its language and length class, z being the least that rejects at most ``REJECTED`` of the
+held-out ones.  The confidence is the posterior of the languages at the temperature that makes short held-out
+fragments, on which errors occur, most likely; ``Model.reliability`` is what is left of its calibration error.
+
+The models are fitted on a bounded sample of labelled rows: ``FIT_DOCS`` documents per language, of those of at most
+``FIT_CHARS`` characters.  Labels may be wrong and texts mixed, so sentences whose n-grams mostly carry another
 label are left out before fitting.  Everything else covers all rows and whole texts.
 """
 
@@ -29,6 +35,8 @@ FIT_DOCS, FIT_CHARS = 500, 4000
 ORDER, BITS = 5, 12
 #: Shortest sentence, in words, that is told a language by itself.
 MIN_WORDS = 4
+#: Share of held-out sentences that calibration may reject; length classes, in symbols; length of fragments.
+REJECTED, CLASSES, FRAGMENT = 0.002, (20, 40, 80), 12
 
 # Names and codes of the languages told apart.
 NAMES = {
@@ -57,8 +65,9 @@ class Model(NamedTuple):
     logp: list[np.ndarray]  # [n-gram, language]
     gamma: list[np.ndarray]  # log back-off weight of the n-gram as a context
     floor: np.ndarray  # for a symbol never seen
-    limit: np.ndarray  # highest cross-entropy accepted for a language
+    limit: np.ndarray  # [language, length class]: highest cross-entropy accepted
     scale: float  # of log-likelihood differences, for the confidence
+    reliability: float  # mean difference of confidence and accuracy on held-out fragments
 
 
 def _symbols(s: Sentences, alphabet: np.ndarray, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -105,14 +114,60 @@ def fit(texts: list[str], labels: list[int], n_langs: int) -> Model:
     for _ in range(2):
         lang = np.where(_vote(grams[-1], off, lang, n_langs) == lang, lang, -1)
     model = _train(grams, np.repeat(np.where(held, -1, lang), np.diff(off)), n_langs, alphabet)
-    ce = _entropy(model, grams, off)
-    size = np.diff(off)
-    limit = np.full(n_langs, np.inf)
+    mine = np.flatnonzero(held & (lang >= 0))
+    return _calibrate(model, x, off, lang, mine)
+
+
+def _length_class(size: np.ndarray) -> np.ndarray:
+    return np.searchsorted(np.array(CLASSES), size, side="right")
+
+
+def _cut_out(x: np.ndarray, off: np.ndarray, which: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the sentences ``which``, or of the first ``most`` of each, and their offsets."""
+    n = np.diff(off)[which]
+    n = n if most is None else np.minimum(n, most)
+    end = np.concatenate([[0], np.cumsum(n)])
+    return x[np.repeat(off[which] - end[:-1], n) + np.arange(end[-1])], end
+
+
+def _calibrate(m: Model, x: np.ndarray, off: np.ndarray, lang: np.ndarray, held: np.ndarray) -> Model:
+    """Rejection limits and confidence temperature from held-out sentences."""
+    n_langs, kinds = len(m.floor), len(CLASSES) + 1
+    limit = np.full((n_langs, kinds), np.inf)
+    if not len(held):
+        return m._replace(limit=limit)
+    hx, h_off = _cut_out(x, off, held, None)
+    ce = _entropy(m, _grams(hx, h_off), h_off)[np.arange(len(held)), lang[held]]
+    kind = _length_class(np.diff(h_off))
+    mean, dev = np.full((n_langs, kinds), np.nan), np.full((n_langs, kinds), np.nan)
     for k in range(n_langs):
-        mine = ce[held & (lang == k) & (size >= 20), k]
-        if len(mine) >= 20:
-            limit[k] = mine.mean() + 10 * mine.std()
-    return model._replace(limit=limit)
+        for c in range(kinds):
+            one = ce[(lang[held] == k) & (kind == c)]
+            if len(one) >= 20:
+                mean[k, c], dev[k, c] = one.mean(), max(one.std(), 0.02)
+    z = (ce - mean[lang[held], kind]) / dev[lang[held], kind]
+    z = z[np.isfinite(z)]
+    if len(z):
+        # the order statistic that leaves at most REJECTED above it, and no less than the largest of a small sample
+        limit = mean + max(np.sort(z)[min(len(z) - 1, int(np.ceil(len(z) * (1 - REJECTED))))], 3.0) * dev
+        limit = np.where(np.isnan(limit), np.inf, limit)
+    fx, f_off = _cut_out(x, off, held, FRAGMENT)
+    size = np.diff(f_off)
+    cost = (_entropy(m, _grams(fx, f_off), f_off) * size[:, None])[size > 0]
+    true = lang[held][size > 0]
+    scales = np.geomspace(0.05, 2, 40)
+
+    def posterior(t: float) -> np.ndarray:
+        p = np.exp(-(cost - cost.min(1, keepdims=True)) * t)
+        return p / p.sum(1, keepdims=True)
+
+    loss = [-np.log(np.maximum(posterior(t)[np.arange(len(true)), true], 1e-12)).mean() for t in scales]
+    scale = float(scales[int(np.argmin(loss))])
+    p = posterior(scale)
+    conf, right = p.max(1), p.argmax(1) == true
+    bins = np.minimum((conf * 10).astype(int), 9)
+    gap = sum(abs(conf[bins == k].mean() - right[bins == k].mean()) * (bins == k).mean() for k in np.unique(bins))
+    return m._replace(limit=limit, scale=scale, reliability=float(gap))
 
 
 def _vote(gram: np.ndarray, off: np.ndarray, lang: np.ndarray, n_langs: int) -> np.ndarray:
@@ -174,7 +229,7 @@ def _train(grams: list[np.ndarray], lang: np.ndarray, n_langs: int, alphabet: np
         keys.append(t)
         logp.append(np.log(p).astype(np.float32))
     gamma.append(np.zeros((0, n_langs), np.float32))
-    return Model(alphabet, keys, logp, gamma, floor.astype(np.float32), np.full(n_langs, np.inf), 0.25)
+    return Model(alphabet, keys, logp, gamma, floor.astype(np.float32), np.full((n_langs, len(CLASSES) + 1), np.inf), 0.25, np.nan)
 
 
 def _find(table: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -222,12 +277,33 @@ def tell(m: Model, s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes.append(np.diff(off))
     ce = np.concatenate(parts) if parts else np.zeros((0, len(m.floor)), np.float32)
     size = np.concatenate(sizes) if sizes else np.zeros(0, int)
-    best = ce.argmin(1) if len(ce) else np.zeros(0, int)
+    short = np.diff(s.word_off) < MIN_WORDS
+    best, conf = _decide(m, ce, size)
+    best, conf = np.where(short, -1, best), np.where(short, 0.0, conf)
+    # documents that have short sentences only: told as one text
+    row = np.repeat(np.arange(len(s.off) - 1), np.diff(s.off))
+    words_of_row = np.bincount(row, np.diff(s.word_off), len(s.off) - 1)
+    only = (np.bincount(row[~short], minlength=len(s.off) - 1) == 0) & (words_of_row >= MIN_WORDS)
+    at = np.flatnonzero(only[row] & (size > 0))
+    if len(at):
+        docs, of = np.unique(row[at], return_inverse=True)
+        cost = np.zeros((len(docs), len(m.floor)))
+        np.add.at(cost, of, ce[at] * size[at][:, None])
+        total = np.bincount(of, size[at])
+        told, sure = _decide(m, (cost / total[:, None]).astype(np.float32), total.astype(int))
+        best[at], conf[at] = told[of], sure[of]
+    return best, conf, size
+
+
+def _decide(m: Model, ce: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Language (-1: rejected or empty) and confidence from cross-entropies over ``size`` symbols."""
+    if not len(ce):
+        return np.zeros(0, int), np.zeros(0)
+    best = ce.argmin(1)
     lead = ce[np.arange(len(best)), best]
-    z = np.exp(-(ce - lead[:, None]) * (size * m.scale)[:, None])
-    conf = 1 / z.sum(1) if len(ce) else np.zeros(0)
-    none = (size == 0) | (np.diff(s.word_off) < MIN_WORDS) | (lead > m.limit[best])
-    return np.where(none, -1, best), np.where(none, 0.0, conf), size
+    conf = 1 / np.exp(-(ce - lead[:, None]) * (size * m.scale)[:, None]).sum(1)
+    none = (size == 0) | (lead > m.limit[best, _length_class(size)])
+    return np.where(none, -1, best), np.where(none, 0.0, conf)
 
 
 def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[int]]:
@@ -253,8 +329,8 @@ def language_segments(docs: DataFrame, model: Model | None = None, id_col: str =
     """One row per document: (doc_id, label, n_words, n_told, segments); ``label`` is the language the label names.
 
     A segment is a maximal run of sentences in one language; its places count code points of the consistent form, and
-    its confidence is the mean of its sentences' weighted by length.  Sentences that are too short or that no model
-    explains belong to no language and to the segment they stand in.  A null or blank text has no segment.
+    its confidence is the mean of its sentences' weighted by length.  Sentences that are too short, where others are
+    not, or that no model explains belong to no language and to the segment they stand in.  A null or blank text has no segment.
     """
     model = model or fit_languages(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     sc = docs.sparkSession.sparkContext
