@@ -8,7 +8,7 @@ the converged own probability ranks the terms.
 
 Terms are counted inside each record by one vector pass per Arrow batch, so a record's words are never shuffled one by
 one; frequencies are combined on the map side; the background, which grows with the vocabulary, is joined by an
-equi-join (broadcast by the adaptive planner only where its measured size allows, split where a term is hot).
+equi-join (no estimate survives the cut before it, so only the adaptive planner may broadcast it, by measured size).
 The EM runs on the flattened lists of many records at once.
 
 Defined results: null and termless texts have no rows; equal texts are separate records; no score is cut off, so
@@ -71,8 +71,9 @@ def em(tf: np.ndarray, background: np.ndarray, off: np.ndarray, own: float = OWN
 
 
 def distinctive_terms(df: DataFrame, keys: list[str], text_col: str = "text", own: float = OWN_WEIGHT) -> DataFrame:
-    """(keys..., term, tf, df, score) for every term of every record; ``df`` counts records, ``score`` is the own
-    probability after convergence.  ``keys`` must identify a record."""
+    """(keys..., term, tf, df, score, background) for every term of every record; ``df`` counts records, ``score`` is
+    the own probability after convergence and ``background`` the collection's.  A term is told apart from the
+    collection where its score is the higher one: the others lost their mass.  ``keys`` must identify a record."""
     tf = cut(term_counts(df, keys, text_col))
     total = tf.agg(F.sum("tf")).first()[0] or 1
     background = tf.groupBy("term").agg(F.sum("tf").alias("__cf"), F.count(F.lit(1)).alias("df"))
@@ -86,10 +87,11 @@ def distinctive_terms(df: DataFrame, keys: list[str], text_col: str = "text", ow
             flat = lists.flatten()
             field = lambda n: flat.field(n)
             off = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            score = em(field("tf").to_numpy().astype(float), field("__cf").to_numpy() / total, off, own)
+            background = field("__cf").to_numpy() / total
+            score = em(field("tf").to_numpy().astype(float), background, off, own)
             at = pc.list_parent_indices(lists)
-            cols = [b.column(i).take(at) for i in range(n_keys)] + [field("term"), field("tf"), field("df"), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keys, "term", "tf", "df", "score"])
+            cols = [b.column(i).take(at) for i in range(n_keys)] + [field("term"), field("tf"), field("df"), pa.array(score), pa.array(background)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keys, "term", "tf", "df", "score", "background"])
 
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("df", T.LongType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("df", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("background", T.DoubleType())])
     return records.mapInArrow(solve, schema)

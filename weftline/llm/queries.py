@@ -57,7 +57,7 @@ def p3_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    scored = p3_scores(spark, d).where("score > 0")
+    scored = p3_scores(spark, d).where("score > background")
     return scored.where("tf >= 2 and df between 2 and 10").select("subset_id", "row_no", "term")
 
 
@@ -125,6 +125,31 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clusters, p1_responses, p1_bench, p2_found, p2_documents, p2_eval_items, p3_found, p3_scores, p4_found, p4_neighbours, p5_found, p5_segments, p5_documents, p6_found, p6_groups, p7_pack, p8_found, p8_passages, p9_found, p9_shares, p9_composition)}
 
+#: The visible text in SQL, as far as the tables' characters need it: full-width forms, blanks, what shows nothing, and
+#: lower-case letters of other scripts drawn like Latin ones.
+_FROM = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u00a0\u2002\u2003\u2009\u202f\u3000" + "".join(x.lower() for x in visible.LOOKALIKE_CYRILLIC.values())
+_TO = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " " * 6 + "".join(x.lower() for x in visible.LOOKALIKE_CYRILLIC)
+_HIDDEN = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u034f\u200e\u200f"
+
+
+def words_sql(text: str) -> str:
+    """The list of words of the visible text."""
+    shown = f"translate(lower(nfc_normalize(translate({text}, '{_FROM[:100]}{_HIDDEN}', '{_TO[:100]}'))), '{_FROM[100:]}', '{_TO[100:]}')"
+    return rf"regexp_extract_all({shown}, '[\pL\p{{Nd}}]+')"
+
+
+def _runs_sql(table_: str, key: str, n: int, least: int) -> str:
+    run = ", ".join(f"w[i + {k}]" for k in range(n))
+    return f"SELECT DISTINCT {key}, list_value({run}) AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM (SELECT {key}, {words_sql('text')} AS w FROM {table_}) WHERE len(w) >= {least})"
+
+
+_NEAR_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS field_name, a.subset_id, a.vec_id AS x, b.vec_id AS y, round(list_dot_product(a.u, b.u), 6) AS sim FROM {c}_u a JOIN {c}_u b ON a.subset_id = b.subset_id AND a.vec_id <> b.vec_id""" for c in ("g", "proj_bd")
+)
+_UNITS_SQL = ", ".join(
+    f"""{c}_v AS (SELECT vec_id, subset_id, CAST({c} AS DOUBLE[]) AS v FROM feature_rows WHERE {c} IS NOT NULL), {c}_u AS (SELECT vec_id, subset_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM {c}_v WHERE list_dot_product(v, v) > 0)""" for c in ("g", "proj_bd")
+)
+
 ORACLES: dict[str, str] = {
     "p3_found": r"""
         WITH t AS (SELECT subset_id, row_no, unnest(regexp_extract_all(lower(text), '\p{L}{3,}')) AS term FROM bench_rows),
@@ -132,4 +157,17 @@ ORACLES: dict[str, str] = {
         df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
         SELECT subset_id, row_no, term FROM tf JOIN df USING (term) WHERE tf >= 2 AND df BETWEEN 2 AND 10
     """,
+    "p4_found": f"""
+        WITH {_UNITS_SQL}, p AS ({_NEAR_SQL}), n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY field_name, x ORDER BY sim DESC, y) <= 10)
+        SELECT DISTINCT field_name, least(x, y) AS vec_a, greatest(x, y) AS vec_b FROM n
+    """,
+    "p6_found": f"""
+        WITH s AS ({_runs_sql('documents', 'doc_id', 3, 25)}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        b AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS k FROM s x JOIN s y ON x.run = y.run AND x.doc_id < y.doc_id GROUP BY ALL)
+        SELECT doc_a, doc_b FROM b JOIN n p ON p.doc_id = doc_a JOIN n q ON q.doc_id = doc_b WHERE 2 * k >= p.n + q.n - k
+    """,
+    "p8_found": f"""
+        WITH d AS ({_runs_sql('documents', 'doc_id', 13, 13)}), e AS ({_runs_sql('eval_items', 'item_id', 13, 13)})
+        SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (run)
+    """,
 }
