@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import cut
+
 BLOCK = 4096
 
 
@@ -42,7 +44,9 @@ def exact_knn(df: DataFrame, id_col: str, vec_col: str, k: int, group: str | Non
     """
     g = F.col(group).cast("long") if group else F.lit(0).cast("long")
     rows = df.select(g.alias("__g"), F.col(id_col).cast("long").alias("id"), normalise(F.col(vec_col)).alias("v")).where(F.col("v").isNotNull() & F.col("id").isNotNull())
-    rows = rows.withColumn("b", F.floor(F.col("id") / block))
+    # blocks of about ``block`` rows whatever the ids look like
+    cells = rows.groupBy("__g").agg(F.ceil(F.count(F.lit(1)) / block).alias("__n"))
+    rows = rows.join(cells, "__g").withColumn("b", F.pmod(F.xxhash64("id"), "__n")).drop("__n")
     blocks = rows.select("__g", "b").distinct()
     pairs = blocks.select("__g", F.col("b").alias("a")).join(blocks, "__g")
     left = rows.withColumnRenamed("b", "a").join(pairs, ["__g", "a"]).select("__g", "a", "b", "id", "v")
@@ -84,9 +88,12 @@ def smooth(df: DataFrame, id_col: str, vec_col: str, nn: DataFrame, alpha: float
     return mixed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s.x).alias("v")).select(F.col("id").alias(id_col), normalise(F.col("v")).alias(vec_col))
 
 
-def symmetric(nn: DataFrame) -> DataFrame:
-    """(src, dst): edges in both directions, once each."""
-    return nn.select("src", "dst").union(nn.select("dst", "src")).distinct()
+def symmetric(nn: DataFrame, loops: bool = False) -> DataFrame:
+    """(src, dst): edges in both directions, once each; with ``loops`` every node is its own neighbour too."""
+    e = nn.select("src", "dst").union(nn.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    if loops:
+        e = e.union(nn.select("src", F.col("src").alias("dst")))
+    return e.distinct()
 
 
 def bandwidths(nn: DataFrame, k: int) -> DataFrame:
@@ -127,26 +134,43 @@ def normalised_adjacency(edges: DataFrame) -> DataFrame:
     return e.select("src", "dst", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("w"))
 
 
-def centroids(df: DataFrame, cluster: str, vec_col: str) -> DataFrame:
-    """(cluster, v, size): mean vector of every cluster, unit length."""
-    one = df.select(cluster, F.posexplode(vec_col).alias("pos", "x")).groupBy(cluster, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
-    arr = one.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s.m).alias("v"), F.max("n").alias("size"))
-    return arr.select(cluster, normalise(F.col("v")).alias("v"), "size")
+def centroids(df: DataFrame, cluster: str | list[str], vec_col: str) -> DataFrame:
+    """(cluster..., v, size): mean vector of every cluster, unit length."""
+    by = [cluster] if isinstance(cluster, str) else cluster
+    one = df.select(*by, F.posexplode(vec_col).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
+    arr = one.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s.m).alias("v"), F.max("n").alias("size"))
+    return arr.select(*by, normalise(F.col("v")).alias("v"), "size")
 
 
-def nearest_centroid(df: DataFrame, id_col: str, vec_col: str, cents: DataFrame, cluster: str, limit: int = 10_000) -> DataFrame:
-    """(id, cluster, sim) of the most similar centroid, ties to the smaller cluster.  The centroids, whose number is
-    checked to be at most ``limit``, form a stated query set that meets all rows."""
-    n = cents.count()
+def nearest_centroid(df: DataFrame, id_col: str, vec_col: str, cents: DataFrame, cluster: str, limit: int = 10_000, group: str | None = None) -> DataFrame:
+    """([group,] id, cluster, sim) of the most similar centroid, ties to the smaller cluster.  The centroids, whose
+    number (in each group, if one is named) is checked to be at most ``limit``, are a stated query set that meets all
+    rows."""
+    one = F.array_sort(F.collect_list(F.struct(F.col(cluster).alias("c"), F.col("v"))))
+    by = [group] if group else []
+    packed = cut(cents.groupBy(*by).agg(one.alias("cs")))
+    n = packed.agg(F.max(F.size("cs"))).first()[0] or 0
     if n > limit:
         raise ValueError(f"{n} centroids; at most {limit} are compared with every row")
-    packed = cents.agg(F.array_sort(F.collect_list(F.struct(F.col(cluster).alias("c"), F.col("v")))).alias("cs"))
-    rows = df.select(F.col(id_col).alias("id"), normalise(F.col(vec_col)).alias("v")).where("v is not null").join(F.broadcast(packed))
+    rows = df.select(*by, F.col(id_col).alias("id"), normalise(F.col(vec_col)).alias("v")).where("v is not null")
+    rows = rows.join(packed, by) if group else rows.join(F.broadcast(packed))
     scored = F.transform("cs", lambda s: F.struct((-F.round(dot(F.col("v"), s.v), 6)).alias("d"), s.c.alias("c")))
-    return rows.select("id", F.array_min(scored).alias("b")).select("id", F.col("b.c").alias(cluster), (-F.col("b.d")).alias("sim"))
+    return rows.select(*by, "id", F.array_min(scored).alias("b")).select(*by, "id", F.col("b.c").alias(cluster), (-F.col("b.d")).alias("sim"))
+
+
+def relative_density(df: DataFrame, id_col: str, vec_col: str, group: str, k: int = 12, sample: int = 300, seed: int = 6) -> DataFrame:
+    """(group, density): mean distance to the ``k``-th neighbour over the mean distance of pairs of a bounded sample."""
+    near = exact_knn(df, id_col, vec_col, k, group=group).where(F.col("rank") == k).groupBy(group).agg(F.avg("dist").alias("near"))
+    pick = Window.partitionBy(group).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col)
+    rows = df.where(F.col(vec_col).isNotNull()).select(F.col(group).cast("long").alias(group), F.col(id_col), normalise(F.col(vec_col)).alias("v"))
+    s = rows.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= sample)
+    a, b = (s.select(group, F.col("r").alias(i), F.col("v").alias(f"v{i}")) for i in ("i", "j"))  # ``sample`` rows a group
+    far = a.join(b, group).where("i < j").groupBy(group).agg(F.avg(F.greatest(1 - dot(F.col("vi"), F.col("vj")), F.lit(0.0))).alias("far"))
+    return near.join(far, group).select(group, (F.col("near") / F.col("far")).alias("density"))
 
 
-def recall(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """(src, recall): share of the neighbours of ``a`` that ``b`` has too."""
-    hit = a.select("src", "dst").join(b.select("src", "dst"), ["src", "dst"]).groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    return a.select("src").distinct().join(hit, "src", "left").select("src", (F.coalesce("n", F.lit(0)) / k).alias("recall"))
+def recall(a: DataFrame, b: DataFrame, k: int, group: str | None = None) -> DataFrame:
+    """([group,] src, recall): share of the neighbours of ``a`` that ``b`` has too."""
+    by = [group, "src"] if group else ["src"]
+    hit = a.select(*by, "dst").join(b.select(*by, "dst"), [*by, "dst"]).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return a.select(*by).distinct().join(hit, by, "left").select(*by, (F.coalesce("n", F.lit(0)) / k).alias("recall"))

@@ -9,6 +9,8 @@ from weftline.operators import knn as K
 from weftline.session import cut
 
 FIRST_SINGLETON = 1_000_000
+# Least cosine, largest size and rounds of the two stages of merging tiny clusters.
+TINY_STAGES = ((0.8, 1, 1), (0.86, 5, 4))
 
 
 def singletons(df: DataFrame, group: str, id_col: str, dist: Column, fraction: float) -> DataFrame:
@@ -55,15 +57,17 @@ def noise_rules(size: Column, rank: Column, n: Column, small: int = 5, isolated:
     return {"single": F.when(size <= 1, -1).otherwise(c), "small": F.when(size < small, -1).otherwise(c), "isolated": F.when(rank <= F.floor(n * isolated), -1).otherwise(c)}
 
 
-def rescue(df: DataFrame, id_col: str, cluster: str, vec_col: str, least: int, cos: float) -> DataFrame:
-    """(id, cluster): rows of clusters below ``least`` move to the nearest large cluster's centre if close enough."""
-    size = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
-    large = size.where(F.col("size") >= least).select(cluster)
-    small = df.join(size.where(F.col("size") < least).select(cluster), cluster, "left_semi")
-    cents = K.centroids(df.join(large, cluster, "left_semi"), cluster, vec_col)
-    best = K.nearest_centroid(small, id_col, vec_col, cents.withColumnRenamed(cluster, "to"), "to")
-    near = best.where(F.col("sim") >= cos).select(F.col("id").alias(id_col), "to")
-    return df.join(near, id_col, "left").select(id_col, F.coalesce("to", cluster).alias(cluster))
+def rescue(df: DataFrame, id_col: str, cluster: str, vec_col: str, least: int, cos: float, group: str | None = None) -> DataFrame:
+    """([group,] id, cluster): rows of clusters below ``least`` move to the nearest large cluster's centre of their group
+    if close enough; rows without a vector stay."""
+    by = [group] if group else []
+    size = df.groupBy(*by, cluster).agg(F.count(F.lit(1)).alias("size"))
+    large = size.where(F.col("size") >= least).select(*by, cluster)
+    small = df.join(size.where(F.col("size") < least).select(*by, cluster), [*by, cluster], "left_semi")
+    cents = K.centroids(df.join(large, [*by, cluster], "left_semi"), [*by, cluster], vec_col)
+    best = K.nearest_centroid(small, id_col, vec_col, cents.withColumnRenamed(cluster, "to"), "to", group=group)
+    near = best.where(F.col("sim") >= cos).select(*by, F.col("id").alias(id_col), "to")
+    return df.join(near, [*by, id_col], "left").select(*by, id_col, F.coalesce("to", cluster).alias(cluster))
 
 
 def mutual_merges(df: DataFrame, cluster: str, vec_col: str, most: int, cos: float, group: str | None = None) -> DataFrame:
@@ -76,3 +80,33 @@ def mutual_merges(df: DataFrame, cluster: str, vec_col: str, most: int, cos: flo
     back = nn.select("__of", F.col("dst").alias("src"), F.col("src").alias("dst"))
     pair = nn.join(back, ["__of", "src", "dst"]).where((F.col("src") < F.col("dst")) & (F.col("sim") >= cos))
     return pair.select(*([F.col("__of").alias(group)] if group else []), F.col("src").alias("a"), F.col("dst").alias("b"), F.round("sim", 6).alias("sim"))
+
+
+def merge_tiny(df: DataFrame, id_col: str, cluster: str, vec_col: str, group: str, stages: tuple[tuple[float, int, int], ...] = TINY_STAGES) -> DataFrame:
+    """(group, id, cluster): mutual-nearest merges in stages of (cosine, largest size, rounds), relabelled after each.
+
+    The larger label of a pair becomes the smaller one; a stage ends early when a round merges nothing.  Labels are
+    dense from 0 in each group in the end.
+    """
+    now = cut(df.select(F.col(group).cast("long").alias(group), id_col, F.col(cluster).cast("long").alias(cluster), vec_col))
+    for cos, most, rounds in stages:
+        for _ in range(rounds):
+            pairs = cut(mutual_merges(now, cluster, vec_col, most, cos, group=group))
+            if pairs.isEmpty():
+                break
+            to = pairs.select(group, F.col("b").alias(cluster), F.col("a").alias("__to"))
+            now = cut(now.join(to, [group, cluster], "left").withColumn(cluster, F.coalesce("__to", cluster)).select(group, id_col, cluster, vec_col))
+    ids = now.select(group, cluster).distinct()
+    ids = ids.select(group, cluster, dense(ids, group, cluster).alias("__d"))
+    return now.join(ids, [group, cluster]).select(group, id_col, F.col("__d").alias(cluster))
+
+
+def tiny_inputs(n: Column, filled: Column, number: Column, label: Column, least: int = 20) -> Column:
+    """Labels of small inputs: below three texts each its own, below three filled or ``least`` in all one, else ``label``."""
+    return F.when(n < 3, number).when((filled < 3) | (n < least), F.lit(0)).otherwise(label)
+
+
+def adaptive_cut(density: Column) -> dict[str, Column]:
+    """Number of clusters and share of singletons, rising with the relative density from 0.1 to 0.32."""
+    beta = F.least(F.greatest((density - 0.1) / 0.22, F.lit(0.0)), F.lit(1.0))
+    return {"k": F.bround(40 + 180 * beta, 0).cast("int"), "fraction": F.round(0.25 + 0.15 * beta, 5)}

@@ -84,3 +84,23 @@ def ridge(df: DataFrame, x: str, y: str, penalty: float) -> DataFrame:
     w = np.linalg.solve(g[:dim, :dim] + penalty * np.eye(dim), g[:dim, dim:]) if n else np.zeros((0, 0))
     rows = [(i, j, float(w[i, j])) for i in range(w.shape[0]) for j in range(w.shape[1])]
     return df.sparkSession.createDataFrame(rows, "input int, output int, weight double")
+
+
+def distil(cells: DataFrame, target: DataFrame, keys: list[str], vec_col: str, buckets: int, dim: int, penalty: float) -> DataFrame:
+    """(keys..., v): sparse rows (keys..., bucket, value) mapped to the ``dim`` leading principal coordinates of the
+    vectors ``target``, by ridge regression fitted on the rows that have both.
+
+    Only matrices of ``buckets`` + ``dim`` reach the driver.
+    """
+    from weftline.operators.svd import multiply
+
+    basis = components(target, vec_col, dim)[1]
+    coords = project(target, keys, vec_col, basis)
+    sparse = cells.select(*keys, F.col("bucket").alias("at"), F.col("value").cast("double").alias("value"))
+    rows = sparse.groupBy(*keys).agg(F.collect_list(F.struct("at", "value")).alias("e"))
+    dense = multiply(rows, keys, np.eye(buckets), "x").join(coords.select(*keys, F.col(vec_col).alias("y")), keys)
+    _, _, g = moments(dense, ["x", "y"])
+    if not g.size:
+        return multiply(rows, keys, np.zeros((buckets, dim)))
+    w = np.linalg.solve(g[:buckets, :buckets] + penalty * np.eye(buckets), g[:buckets, buckets:])
+    return multiply(rows, keys, w)

@@ -42,3 +42,12 @@ def rank_auc(df: DataFrame, group: str, score: str, positive: str) -> DataFrame:
     ranks = cell.withColumn("rank", before + (F.col("n") + 1) / 2)
     s = ranks.groupBy(group).agg(F.sum(F.col("rank") * F.col("p")).alias("s"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return s.where("p > 0 and q > 0").select(group, ((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
+
+
+def precision_at(df: DataFrame, group: str, score: str, positive: str, id_col: str, share: float) -> DataFrame:
+    """(group, precision): share of positives among the ``share`` of each group's rows with the highest score."""
+    from pyspark.sql import Window
+
+    each = Window.partitionBy(group)
+    top = df.select(group, F.col(positive).cast("double").alias("p"), F.row_number().over(each.orderBy(F.desc(score), id_col)).alias("r"), F.count(F.lit(1)).over(each).alias("n"))
+    return top.where(F.col("r") <= F.floor(share * F.col("n"))).groupBy(group).agg(F.avg("p").alias("precision"))

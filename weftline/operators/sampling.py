@@ -41,3 +41,38 @@ def bootstrap(df: DataFrame, value: str, replicates: int, seed: int = 0, draws:
     draw = lambda i: F.element_at("v", (stable_hash(F.concat(F.lit(f"{seed}:"), F.col("replicate").cast("string"), F.lit(":"), i.cast("string"))) % F.col("n") + 1).cast("int"))
     size = F.lit(draws) if draws else F.col("n")
     return r.join(F.broadcast(vals)).where("n > 0").select("replicate", (F.aggregate(F.transform(F.sequence(F.lit(1), size.cast("int")), draw), F.lit(0.0), lambda s, x: s + x) / size).alias("mean"))
+
+
+def length_batches(df: DataFrame, key: str, length: str, budget: int, salts: int = 64, most_lengths: int = 1_000_000) -> DataFrame:
+    """(key, length, batch): rows in ascending order of length, greedily put into batches whose number of rows times
+    longest row is at most ``budget``; a longer row is a batch of its own.
+
+    The cuts are made on the histogram of lengths, checked to have at most ``most_lengths`` bars.  Ranks inside a length
+    are counted by (length, salt), so a length that many rows share is in no single task.
+    """
+    spark = df.sparkSession
+    rows = df.select(key, F.col(length).cast("int").alias("n")).where("n > 0").withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    cells = rows.groupBy("n", "__salt").agg(F.count(F.lit(1)).alias("c"))
+    bars = cells.groupBy("n").agg(F.sum("c").alias("c"))
+    kinds = bars.count()
+    if kinds > most_lengths:
+        raise ValueError(f"{kinds} lengths; at most {most_lengths} are batched")
+    spans, batch, held = [], -1, 0  # (length, first rank, rows a batch, first batch, room in the first batch)
+    for n, c in sorted((r.n, r.c) for r in bars.collect()):
+        room = max(budget // n, 1)
+        left = max(room - held, 0) if batch >= 0 else 0
+        take = min(left, c)
+        if take:
+            spans.append((n, 0, take, batch, take))
+            held += take
+        if c > take:
+            spans.append((n, take, c, batch + 1, room))
+            full, rest = divmod(c - take, room)
+            batch, held = batch + full + (rest > 0), rest or room
+    before = Window.partitionBy("n").orderBy("__salt")
+    base = cells.select("n", "__salt", (F.sum("c").over(before) - F.col("c")).alias("base"))
+    rank = Window.partitionBy("n", "__salt").orderBy(key)
+    ranked = rows.withColumn("r", F.row_number().over(rank) - 1).join(base, ["n", "__salt"]).select(key, "n", (F.col("r") + F.col("base")).alias("rank"))
+    cuts = spark.createDataFrame(spans, "n int, lo long, hi long, first long, room long")  # two spans of a length at most
+    placed = ranked.join(cuts, "n").where("rank >= lo and rank < hi")
+    return placed.select(key, F.col("n").alias(length), (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("room"))).cast("long").alias("batch"))

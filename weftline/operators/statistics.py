@@ -44,5 +44,15 @@ def signed_rank(df: DataFrame, group: str, diff: str) -> DataFrame:
     return s.select(group, "n", "w_plus", ((F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(F.nullif(var, F.lit(0.0)))).alias("z"))
 
 
+def normal_tail(z: Column, steps: int = 400) -> Column:
+    """Chance that a standard normal value exceeds ``z``, by Simpson's rule from 0 to |z| (8 at most)."""
+    a = F.least(F.abs(z), F.lit(8.0))
+    h = a / steps
+    weight = lambda i: F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda s, i: s + weight(i) * F.exp(-(i * h) * (i * h) / 2))
+    half = total * h / 3 / math.sqrt(2 * math.pi)
+    return F.when(z.isNull(), None).when(z >= 0, 0.5 - half).otherwise(0.5 + half)
+
+
 def decision(gain: Column, top: float = 1.0, go: float = 1.5) -> Column:
     return F.when(gain >= go, "go").when(gain >= top, "borderline").otherwise("no")

@@ -55,11 +55,13 @@ def a05_a07_partition_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("subset_id", "n", *[F.round(c, 6).alias(c) for c in ("ari", "nmi", "combined")])
 
 
-@query(f"{_SCORE} SELECT round(0.75 * avg((greatest(ari, 0) + nmi) / 2) FILTER (subset_id % 2 = 0) + 0.25 * avg((greatest(ari, 0) + nmi) / 2) FILTER (subset_id % 2 = 1), 6) AS weighted FROM s")
+@query(f"{_SCORE}, dom AS (SELECT subset_id, min(src) AS src FROM bench_rows GROUP BY subset_id), d AS (SELECT CASE WHEN src = 'reddit' THEN 0.75 ELSE 0.25 END AS w, avg((greatest(ari, 0) + nmi) / 2) AS c FROM s JOIN dom USING (subset_id) GROUP BY ALL) SELECT round(sum(w * c) / sum(w), 6) AS weighted FROM d")
 def a08_domain_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Three quarters for the subsets of posts, one for the others; a missing domain leaves its weight to the other."""
     s = metrics.partition_scores(_labelled(spark, d), "subset_id", "label", "pred")
-    part = lambda r: F.avg(F.when(F.col("subset_id") % 2 == r, F.col("combined")))
-    return s.agg(F.round(0.75 * part(0) + 0.25 * part(1), 6).alias("weighted"))
+    dom = T(spark, d, "bench_rows").groupBy("subset_id").agg(F.min("src").alias("src"))
+    c = s.join(dom, "subset_id").groupBy(F.when(F.col("src") == "reddit", 0.75).otherwise(0.25).alias("w")).agg(F.avg("combined").alias("c"))
+    return c.agg(F.round(F.sum(F.col("w") * F.col("c")) / F.sum("w"), 6).alias("weighted"))
 
 
 @query("SELECT b.subset_id, f.pred, count(*) AS n, round(max(c.n) / count(*), 6) AS purity FROM feature_rows f JOIN bench_rows b USING (subset_id, row_no) JOIN (SELECT g.subset_id, g.pred, h.label, count(*) AS n FROM feature_rows g JOIN bench_rows h USING (subset_id, row_no) WHERE h.label IS NOT NULL GROUP BY ALL) c ON c.subset_id = b.subset_id AND c.pred = f.pred AND c.label = b.label GROUP BY ALL")
@@ -68,12 +70,13 @@ def a10_purity(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("subset_id", "pred").agg(F.sum("k").alias("n"), F.round(F.max("k") / F.sum("k"), 6).alias("purity"))
 
 
-@query("""WITH s AS (SELECT subset_id, length(b.text) AS score, (b.label = -1) AS pos FROM bench_rows b WHERE text IS NOT NULL AND label IS NOT NULL),
-r AS (SELECT subset_id, pos, rank() OVER w + (count(*) OVER (PARTITION BY subset_id, score) - 1) / 2.0 AS rk FROM s WINDOW w AS (PARTITION BY subset_id ORDER BY score))
-SELECT subset_id, round((sum(rk) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)), 6) AS auc FROM r GROUP BY subset_id""")
+@query("""WITH s AS (SELECT subset_id, row_no, length(b.text) AS score, (b.label = -1) AS pos FROM bench_rows b WHERE text IS NOT NULL AND label IS NOT NULL),
+r AS (SELECT subset_id, pos, rank() OVER w + (count(*) OVER (PARTITION BY subset_id, score) - 1) / 2.0 AS rk, row_number() OVER (PARTITION BY subset_id ORDER BY score DESC, row_no) AS top, count(*) OVER (PARTITION BY subset_id) AS n FROM s WINDOW w AS (PARTITION BY subset_id ORDER BY score))
+SELECT subset_id, round((sum(rk) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)), 6) AS auc, round(avg(CASE WHEN pos THEN 1.0 ELSE 0.0 END) FILTER (top <= floor(0.15 * n)), 6) AS precision FROM r GROUP BY subset_id""")
 def a11_rank_auc(spark: SparkSession, d: str) -> DataFrame:
-    t = T(spark, d, "bench_rows").select("subset_id", F.length("text").alias("score"), (F.col("label") == -1).alias("pos"))
-    return metrics.rank_auc(t, "subset_id", "score", "pos").withColumn("auc", F.round("auc", 6))
+    t = T(spark, d, "bench_rows").where("text is not null and label is not null").select("subset_id", "row_no", F.length("text").alias("score"), (F.col("label") == -1).alias("pos"))
+    top = metrics.precision_at(t, "subset_id", "score", "pos", "row_no", 0.15)
+    return metrics.rank_auc(t, "subset_id", "score", "pos").join(top, "subset_id").select("subset_id", F.round("auc", 6).alias("auc"), F.round("precision", 6).alias("precision"))
 
 
 @query("SELECT l_orderkey, l_linenumber, sum(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS running FROM lineitem")
@@ -87,10 +90,14 @@ def a13_histogram(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "feature_rows").groupBy("regime", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH u AS (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY ALL) SELECT event_type, round(avg(m), 6) AS mean, round(min(m), 6) AS worst, round(median(m), 6) AS median FROM u GROUP BY event_type")
+@query("WITH u AS (SELECT event_type, user_id, avg(value) AS m, CASE WHEN max(value) >= 2 * avg(value) THEN 'peak' WHEN count(*) = 1 THEN 'single' ELSE 'even' END AS reason FROM events GROUP BY ALL), a AS (SELECT event_type, round(avg(m), 6) AS mean, round(min(m), 6) AS worst, round(median(m) FILTER (reason = 'even'), 6) AS median_even FROM u GROUP BY event_type) SELECT event_type, mean, worst, median_even, reason, n FROM a JOIN (SELECT event_type, reason, count(*) AS n FROM u GROUP BY ALL) USING (event_type)")
 def a14_two_level(spark: SparkSession, d: str) -> DataFrame:
-    u = T(spark, d, "events").groupBy("event_type", "user_id").agg(F.avg("value").alias("m"))
-    return u.groupBy("event_type").agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.min("m"), 6).alias("worst"), F.round(F.median("m"), 6).alias("median"))
+    """Mean, worst and a conditional median of users' means, beside how many users there are for each reason."""
+    v = F.col("value")
+    reason = F.when(F.max(v) >= 2 * F.avg(v), "peak").when(F.count(F.lit(1)) == 1, "single").otherwise("even")
+    u = T(spark, d, "events").groupBy("event_type", "user_id").agg(F.avg(v).alias("m"), reason.alias("reason"))
+    a = u.groupBy("event_type").agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.min("m"), 6).alias("worst"), F.round(F.median(F.when(F.col("reason") == "even", F.col("m"))), 6).alias("median_even"))
+    return a.join(u.groupBy("event_type", "reason").agg(F.count(F.lit(1)).alias("n")), "event_type").select("event_type", "mean", "worst", "median_even", "reason", "n")
 
 
 @query("SELECT solution, max(took_s) AS slowest, count(DISTINCT request_id) AS requests FROM cluster_responses GROUP BY ALL")
@@ -126,11 +133,9 @@ def w05_arg_max(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def w06_length_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Rows in length order with the number of the batch that a padded budget of 8,192 words puts them in, by range."""
-    t = T(spark, d, "documents").select("doc_id", F.size(F.split("text", r"\s+")).alias("n")).where("n > 0")
-    per = F.greatest(F.floor(F.lit(8192) / F.col("n")), F.lit(1))
-    w = Window.partitionBy("n").orderBy("doc_id")
-    return t.withColumn("batch", F.floor((F.row_number().over(w) - 1) / per))
+    """Batches of documents in order of length whose padded size stays within 8,192 words."""
+    t = T(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)).alias("n")).where("n > 0")
+    return sampling.length_batches(t, "doc_id", "n", 8192)
 
 
 @query("SELECT subset_id, row_no, label FROM bench_rows ORDER BY label DESC NULLS LAST, subset_id, row_no LIMIT 50")
@@ -153,10 +158,11 @@ def w09_order_statistic(spark: SparkSession, d: str) -> DataFrame:
 # ---- joins and sets ------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id FROM documents d WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM eval_items e WHERE e.text = d.text)")
+@query(f"WITH e AS (SELECT DISTINCT {Q.clean('text')} AS c FROM post_pool WHERE text IS NOT NULL) SELECT doc_id FROM (SELECT doc_id, {Q.clean('text')} AS c FROM documents WHERE text IS NOT NULL) WHERE c NOT IN (SELECT c FROM e)")
 def j11_without_evaluation_texts(spark: SparkSession, d: str) -> DataFrame:
-    held = T(spark, d, "eval_items").select("text").distinct()
-    return T(spark, d, "documents").where("text is not null").join(held, "text", "left_anti").select("doc_id")
+    """Documents to train on, without those whose cleaned text is in the pool that is evaluated on."""
+    held = T(spark, d, "post_pool").select(X.clean(F.col("text")).alias("c")).where("c is not null").distinct()
+    return T(spark, d, "documents").where("text is not null").select("doc_id", X.clean(F.col("text")).alias("c")).join(held, "c", "left_anti").select("doc_id")
 
 
 @query("SELECT b.subset_id, b.row_no, b.label, f.pred, f.keep FROM bench_rows b JOIN feature_rows f USING (subset_id, row_no)")
@@ -178,11 +184,23 @@ def j14_labels_back_to_copies(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(u, "c", "left").select("subset_id", "row_no", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
-@query("SELECT a.request_id, a.solution AS one, b.solution AS other, round(a.took_s - b.took_s, 6) AS diff FROM (SELECT request_id, solution, max(took_s) AS took_s FROM cluster_responses GROUP BY ALL) a JOIN (SELECT request_id, solution, max(took_s) AS took_s FROM cluster_responses GROUP BY ALL) b ON a.request_id = b.request_id AND a.solution < b.solution")
+_SHIFT = _SCORE.replace("f.pred AS p", "CASE WHEN count(*) OVER (PARTITION BY f.subset_id, f.pred) < 110 THEN -1 ELSE f.pred END AS p")
+_UNITS = f"one AS ({_SCORE} SELECT subset_id, (greatest(ari, 0) + nmi) / 2 AS c FROM s), two AS ({_SHIFT} SELECT subset_id, (greatest(ari, 0) + nmi) / 2 AS c FROM s)"
+
+
+def paired_units(spark: SparkSession, d: str) -> DataFrame:
+    """(subset_id, one, other): scores of two solutions, the predictions and those with clusters below 110 rows as noise."""
+    t = T(spark, d, "feature_rows").select("subset_id", "row_no", "pred").join(T(spark, d, "bench_rows").select("subset_id", "row_no", "label"), ["subset_id", "row_no"])
+    t = t.where("label is not null and pred is not null")
+    t = t.withColumn("strict", F.when(F.count(F.lit(1)).over(Window.partitionBy("subset_id", "pred")) < 110, -1).otherwise(F.col("pred")))
+    one, two = (metrics.partition_scores(t, "subset_id", "label", c).select("subset_id", F.col("combined").alias(n)) for c, n in (("pred", "one"), ("strict", "other")))
+    return one.join(two, "subset_id")
+
+
+@query(f"WITH {_UNITS} SELECT one.subset_id, round(one.c, 6) AS one, round(two.c, 6) AS other, round(100 * (two.c / one.c - 1), 4) + 0.0 AS gain FROM one JOIN two USING (subset_id)")
 def j15_paired(spark: SparkSession, d: str) -> DataFrame:
-    r = T(spark, d, "cluster_responses").groupBy("request_id", "solution").agg(F.max("took_s").alias("took_s"))
-    a, b = (r.select("request_id", F.col("solution").alias(s), F.col("took_s").alias(t)) for s, t in (("one", "ta"), ("other", "tb")))
-    return a.join(b, "request_id").where("one < other").select("request_id", "one", "other", F.round(F.col("ta") - F.col("tb"), 6).alias("diff"))
+    gain = F.round(100 * (F.col("other") / F.col("one") - 1), 4) + F.lit(0.0)
+    return paired_units(spark, d).select("subset_id", gain.alias("gain"), F.round("one", 6).alias("one"), F.round("other", 6).alias("other"))
 
 
 @query("SELECT s.solution, r.request_id FROM (SELECT DISTINCT solution FROM cluster_responses) s CROSS JOIN cluster_requests r")
@@ -190,11 +208,15 @@ def j16_jobs(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "cluster_requests").select("request_id").crossJoin(F.broadcast(T(spark, d, "cluster_responses").select("solution").distinct())).select("solution", "request_id")
 
 
-@query("SELECT request_id, len(texts) AS n FROM cluster_requests q WHERE (SELECT count(DISTINCT solution) FROM cluster_responses r WHERE r.request_id = q.request_id AND len(r.cluster_ids) = len(q.texts)) > 0")
+@query("WITH f AS (SELECT q.request_id, count(DISTINCT r.solution) AS answers FROM cluster_requests q LEFT JOIN cluster_responses r ON r.request_id = q.request_id AND len(r.cluster_ids) = len(q.texts) GROUP BY ALL) SELECT request_id, answers, answers = (SELECT count(DISTINCT solution) FROM cluster_responses) AS by_all, answers = 0 AS skipped FROM f")
 def j17_answered(spark: SparkSession, d: str) -> DataFrame:
+    """Every request with the number of solutions that answered it in full, whether all did, and whether it is skipped."""
     q = T(spark, d, "cluster_requests").select("request_id", F.size("texts").alias("n"))
-    full = T(spark, d, "cluster_responses").select("request_id", F.size("cluster_ids").alias("n")).distinct()
-    return q.join(full, ["request_id", "n"], "left_semi")
+    r = T(spark, d, "cluster_responses")
+    full = r.select("request_id", F.size("cluster_ids").alias("n"), "solution").distinct()
+    solutions = r.agg(F.count_distinct("solution").alias("all"))
+    f = q.join(full, ["request_id", "n"], "left").groupBy("request_id").agg(F.count("solution").alias("answers")).join(F.broadcast(solutions))
+    return f.select("request_id", "answers", (F.col("answers") == F.col("all")).alias("by_all"), (F.col("answers") == 0).alias("skipped"))
 
 
 @query("SELECT subset_id, round(max(n) / sum(n), 6) AS share FROM (SELECT subset_id, label, count(*) AS n FROM bench_rows WHERE label IS NOT NULL GROUP BY ALL) GROUP BY subset_id HAVING max(n) / sum(n) <= 0.5 AND count(*) > 1")
@@ -295,20 +317,13 @@ def sampling_p08_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "bench_rows").select("subset_id", "row_no", F.element_at(levels, F.col("row_no") % 5 + 1).alias("level"))
 
 
-_DIFF = "d AS (SELECT o_orderpriority AS g, o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority), 2) AS x FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) <= 60)"
+_DIFF = "d AS (SELECT o_orderpriority AS g, o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority), 2) AS x FROM orders)"
 
 
 def _diffs(spark: SparkSession, d: str) -> DataFrame:
-    """The SQL of R01 and R02 takes the first 60 orders of each priority."""
-    g = Window.partitionBy("o_orderpriority")
-    t = T(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), "o_orderkey", F.round(F.col("o_totalprice") - F.avg("o_totalprice").over(g), 2).alias("x"), F.row_number().over(g.orderBy("o_orderkey")).alias("r"))
-    return t.where("r <= 60").select("g", "o_orderkey", "x")
-
-
-def _all_diffs(spark: SparkSession, d: str) -> DataFrame:
     t = T(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), "o_orderkey", "o_totalprice")
-    mean = t.groupBy("g").agg(F.avg("o_totalprice").alias("m"))  # one row per priority
-    return t.join(F.broadcast(mean), "g").select("g", "o_orderkey", F.round(F.col("o_totalprice") - F.col("m"), 2).alias("x"))
+    mean = t.groupBy("g").agg(F.avg("o_totalprice").alias("m"))
+    return t.join(mean, "g").select("g", "o_orderkey", F.round(F.col("o_totalprice") - F.col("m"), 2).alias("x"))
 
 
 @query(f"WITH {_DIFF}, c AS (SELECT g, count(*) FILTER (x > 0) AS better, count(*) FILTER (x < 0) AS worse FROM d GROUP BY g), t AS (SELECT *, unnest(range(better, better + worse + 1)) AS k FROM c) SELECT g, better, worse, round(sum(exp(lgamma(better + worse + 1.0) - lgamma(k + 1.0) - lgamma(better + worse - k + 1.0) - (better + worse) * ln(2.0))), 6) AS p FROM t GROUP BY ALL")
@@ -316,21 +331,16 @@ def r01_sign_test(spark: SparkSession, d: str) -> DataFrame:
     return statistics.sign_test(_diffs(spark, d), "g", "x").withColumn("p", F.round("p", 6))
 
 
-@query(f"WITH {_DIFF}, r AS (SELECT g, x, rank() OVER (PARTITION BY g ORDER BY abs(x)) + (count(*) OVER (PARTITION BY g, abs(x)) - 1) / 2.0 AS rk FROM d WHERE x <> 0) SELECT g, count(*) AS n, round(sum(rk) FILTER (x > 0), 3) AS w_plus FROM r GROUP BY g")
+@query(f"WITH {_DIFF}, r AS (SELECT g, x, abs(x) AS a, rank() OVER (PARTITION BY g ORDER BY abs(x)) + (count(*) OVER (PARTITION BY g, abs(x)) - 1) / 2.0 AS rk FROM d WHERE x <> 0), s AS (SELECT g, count(*) AS n, sum(rk) FILTER (x > 0) AS w FROM r GROUP BY g), t AS (SELECT g, sum(k * k * k - k) AS ties FROM (SELECT g, a, count(*) AS k FROM r GROUP BY ALL) GROUP BY g), z AS (SELECT g, n, w, (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z FROM s JOIN t USING (g)) SELECT g, n, round(w, 3) AS w_plus, round(z, 6) AS z FROM z")
 def r02_signed_rank(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.signed_rank(_diffs(spark, d), "g", "x").select("g", "n", F.round("w_plus", 3).alias("w_plus"))
-
-
-@query()
-def r01_sign_test_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The sign test over all orders of each priority."""
-    return statistics.sign_test(_all_diffs(spark, d), "g", "x").withColumn("p", F.round("p", 6))
+    return statistics.signed_rank(_diffs(spark, d), "g", "x").select("g", "n", F.round("w_plus", 3).alias("w_plus"), F.round("z", 6).alias("z"))
 
 
 @query()
-def r02_signed_rank_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The rank sum over all orders of each priority."""
-    return statistics.signed_rank(_all_diffs(spark, d), "g", "x").select("g", "n", F.round("w_plus", 3).alias("w_plus"))
+def r02_one_sided(spark: SparkSession, d: str) -> DataFrame:
+    """The one-sided p value of the rank sum by the normal approximation; SQL here has no error function."""
+    s = statistics.signed_rank(_diffs(spark, d), "g", "x")
+    return s.select("g", "n", statistics.normal_tail(F.col("z")).alias("p"))
 
 
 @query()
@@ -339,9 +349,9 @@ def r03_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     return b.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"), F.avg((F.col("mean") > 60).cast("int")).alias("p_above"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice / 100000 >= 1.5 THEN 'go' WHEN o_totalprice / 100000 >= 1.0 THEN 'borderline' ELSE 'no' END AS decision FROM orders")
+@query(f"WITH {_UNITS} SELECT one.subset_id, CASE WHEN round(100 * (two.c / one.c - 1), 4) >= 1.5 THEN 'go' WHEN round(100 * (two.c / one.c - 1), 4) >= 1.0 THEN 'borderline' ELSE 'no' END AS decision FROM one JOIN two USING (subset_id)")
 def r07_decision(spark: SparkSession, d: str) -> DataFrame:
-    return T(spark, d, "orders").select("o_orderkey", statistics.decision(F.col("o_totalprice") / 100000).alias("decision"))
+    return j15_paired(spark, d).select("subset_id", statistics.decision(F.col("gain")).alias("decision"))
 
 
 BOOK = [-0.3, -0.1, 0.0, 0.1, 0.3]
@@ -365,10 +375,10 @@ def d09_nibbles(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "lineitem").select("l_orderkey", "l_linenumber", codecs.unpack_nibbles(F.col("l_partkey") % 256).alias("codes"))
 
 
-@query("SELECT vec_id, list_transform(CAST(g AS DOUBLE[]), lambda x: round(x * (pred + 1), 6)) AS v FROM feature_rows WHERE g IS NOT NULL AND pred IS NOT NULL")
+@query("SELECT vec_id, CAST(pos AS INT) AS pos, round(x * (pred + 1), 6) + 0.0 AS value FROM (SELECT vec_id, pred, unnest(range(len(g))) AS pos, CAST(unnest(g) AS DOUBLE) AS x FROM feature_rows WHERE g IS NOT NULL AND pred IS NOT NULL)")
 def d11_gated(spark: SparkSession, d: str) -> DataFrame:
-    t = T(spark, d, "feature_rows").where("g is not null and pred is not null")
-    return t.select("vec_id", F.transform("g", lambda x: F.round(x.cast("double") * (F.col("pred") + 1), 6)).alias("v"))
+    t = T(spark, d, "feature_rows").where("g is not null and pred is not null").select("vec_id", "pred", F.posexplode("g").alias("pos", "x"))
+    return t.select("vec_id", "pos", (F.round(F.col("x").cast("double") * (F.col("pred") + 1), 6) + F.lit(0.0)).alias("value"))
 
 
 @query("SELECT b.subset_id, b.row_no, dense_rank() OVER (ORDER BY b.subset_id) - 1 AS grp FROM bench_rows b WHERE b.text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM eval_items e WHERE e.text = b.text) QUALIFY row_number() OVER (PARTITION BY b.text ORDER BY b.subset_id, b.row_no) = 1")
@@ -376,4 +386,4 @@ def d04_training_set(spark: SparkSession, d: str) -> DataFrame:
     b = T(spark, d, "bench_rows").where("text is not null").join(T(spark, d, "eval_items").select("text").distinct(), "text", "left_anti")
     first = b.groupBy("text").agg(F.min(F.struct("subset_id", "row_no")).alias("k")).select("k.*")
     ids = b.select("subset_id").distinct().withColumn("grp", F.dense_rank().over(Window.orderBy("subset_id")) - 1)
-    return first.join(F.broadcast(ids), "subset_id").select("subset_id", "row_no", "grp")
+    return first.join(ids, "subset_id").select("subset_id", "row_no", "grp")

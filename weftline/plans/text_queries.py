@@ -60,10 +60,12 @@ def s10_truncated(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.substring("text", 1, 280).alias("head"))
 
 
-@query("SELECT paper_id, cat FROM paper_pool p WHERE NOT EXISTS (SELECT 1 FROM bench_rows b WHERE b.cat = p.cat)")
+@query("SELECT paper_id, cat FROM paper_pool WHERE cat NOT IN (SELECT cat FROM paper_pool WHERE cat IS NOT NULL GROUP BY cat HAVING count(*) >= 20)")
 def s13_resume_append(spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "bench_rows").select("cat").where("cat is not null").distinct()
-    return table(spark, d, "paper_pool").select("paper_id", "cat").join(done, "cat", "left_anti").select("paper_id", "cat")
+    """What a resumed fetch still has to get: papers of categories that are not complete, at 20 papers, yet."""
+    t = table(spark, d, "paper_pool").where("cat is not null").select("paper_id", "cat")
+    done = t.groupBy("cat").agg(F.count(F.lit(1)).alias("n")).where("n >= 20").select("cat")
+    return t.join(done, "cat", "left_anti").select("paper_id", "cat")
 
 
 @query("SELECT event_id, regexp_extract(props, '\"k\": ([0-9]+)', 1) AS literal FROM events")
@@ -107,10 +109,11 @@ def t06_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SCRIPTS = {1: r"\x{0400}-\x{052F}", 2: r"\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}", 3: r"\x{0600}-\x{06FF}", 4: r"\x{0590}-\x{05FF}", 5: r"\x{0E00}-\x{0E7F}", 6: r"\x{0900}-\x{097F}"}
-_SCRIPT_SQL = ", ".join(f"length(regexp_replace(text, '[^{r}]', '', 'g')) AS c{i}" for i, r in _SCRIPTS.items())
+SCRIPT_COUNTS_SQL = ", ".join(f"length(regexp_replace(text, '[^{r}]', '', 'g')) AS c{i}" for i, r in _SCRIPTS.items())
+SCRIPT_SQL = "CASE WHEN top > 0 AND top * 8 >= greatest(length(text), 1) THEN CASE " + " ".join(f"WHEN c{i} = top THEN {i}" for i in range(1, 7)) + " END ELSE 0 END"
 
 
-@query(f"WITH c AS (SELECT doc_id, text, {_SCRIPT_SQL} FROM documents), g AS (SELECT *, greatest(c1, c2, c3, c4, c5, c6) AS top FROM c) SELECT doc_id, CASE WHEN top > 0 AND top * 8 >= greatest(length(text), 1) THEN " + "CASE " + " ".join(f"WHEN c{i} = top THEN {i}" for i in range(1, 7)) + " END ELSE 0 END AS script FROM g")
+@query(f"WITH c AS (SELECT doc_id, text, {SCRIPT_COUNTS_SQL} FROM documents), g AS (SELECT *, greatest(c1, c2, c3, c4, c5, c6) AS top FROM c) SELECT doc_id, {SCRIPT_SQL} AS script FROM g")
 def t07_script(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", X.script_id(F.col("text")).alias("script"))
 

@@ -84,9 +84,9 @@ def j02_smoothed(spark: SparkSession, d: str) -> DataFrame:
     return s.select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 5))
 
 
-@query(f"WITH {NN(15)} SELECT src, dst FROM nn UNION SELECT dst AS src, src AS dst FROM nn")
+@query(f"WITH {NN(15)} SELECT src, dst FROM nn UNION SELECT dst AS src, src AS dst FROM nn UNION SELECT vec_id, vec_id FROM u")
 def j03_connectivity(spark: SparkSession, d: str) -> DataFrame:
-    return K.symmetric(neighbours(spark, d, 15))
+    return K.symmetric(neighbours(spark, d, 15), loops=True)
 
 
 @query()
@@ -117,33 +117,61 @@ def j06_majority_vote(spark: SparkSession, d: str) -> DataFrame:
 CENT = f"{UNIT}, c0 AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(range(64)) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY ALL), c1 AS (SELECT label AS c, list(m ORDER BY pos) AS m FROM c0 GROUP BY label), c AS (SELECT c, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS v FROM c1)"
 
 
-@query(f"WITH {CENT} SELECT vec_id, c.c AS label, round(list_dot_product(u.v, c.v), 6) AS sim FROM u, c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(u.v, c.v), 6) DESC, c.c) = 1")
+_NEAR = "SELECT vec_id, c.c AS label, u.v AS v, round(list_dot_product(u.v, c.v), 6) AS sim FROM u, c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(u.v, c.v), 6) DESC, c.c) = 1"
+
+
+@query(f"WITH {CENT}, r1 AS ({_NEAR}), c2 AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(range(64)) AS pos, unnest(v) AS x FROM r1) GROUP BY ALL), c3 AS (SELECT label AS c, list(m ORDER BY pos) AS m FROM c2 GROUP BY label), d AS (SELECT c, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS v FROM c3) SELECT vec_id, label, sim FROM ({_NEAR.replace('FROM u, c ', 'FROM u, d c ')})")
 def j07_nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
-    c = K.centroids(emb(spark, d), "label", "embedding")
-    return K.nearest_centroid(emb(spark, d), "vec_id", "embedding", c, "label").select(F.col("id").alias("vec_id"), "label", "sim")
+    """Two rounds: rows move to the nearest centre, whose centres are those of the next round."""
+    t = emb(spark, d).select("vec_id", K.normalise(F.col("embedding")).alias("v"), "label")
+    for _ in range(2):
+        near = K.nearest_centroid(t, "vec_id", "v", K.centroids(t, "label", "v"), "label")
+        t = cut(t.select("vec_id", "v").join(near.select(F.col("id").alias("vec_id"), "label", "sim"), "vec_id"))
+    return t.select("vec_id", "label", "sim")
 
 
-@query()
+_PREDU = "u AS (SELECT vec_id, subset_id, row_no, pred, list_transform(CAST(g AS DOUBLE[]), lambda x: CASE WHEN list_dot_product(CAST(g AS DOUBLE[]), CAST(g AS DOUBLE[])) > 0 THEN x / sqrt(list_dot_product(CAST(g AS DOUBLE[]), CAST(g AS DOUBLE[]))) ELSE x END) AS v, CAST(g AS DOUBLE[]) AS g FROM feature_rows WHERE g IS NOT NULL AND pred IS NOT NULL)"
+
+
+@query(f"""WITH {_PREDU}, z AS (SELECT subset_id, pred, count(*) AS size FROM u GROUP BY ALL), m0 AS (SELECT subset_id, pred, pos, avg(x) AS m FROM (SELECT subset_id, pred, unnest(range(32)) AS pos, unnest(g) AS x FROM u) GROUP BY ALL), m1 AS (SELECT subset_id, pred, list(m ORDER BY pos) AS m FROM m0 GROUP BY ALL),
+c AS (SELECT subset_id, pred AS c, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS v FROM m1 JOIN z USING (subset_id, pred) WHERE size >= 100),
+n AS (SELECT vec_id, c.c, round(list_dot_product(u.v, c.v), 6) AS sim FROM u JOIN z USING (subset_id, pred) JOIN c USING (subset_id) WHERE size < 100 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, c.c) = 1)
+SELECT u.vec_id, CASE WHEN n.sim >= 0.3 THEN n.c ELSE u.pred END AS cluster FROM u LEFT JOIN n USING (vec_id)""")
 def j08_rescued(spark: SparkSession, d: str) -> DataFrame:
     from weftline.operators.labels import rescue
 
     t = table(spark, d, "feature_rows").where("g is not null and pred is not null")
-    return rescue(t.select("vec_id", F.col("pred").alias("cluster"), "g"), "vec_id", "cluster", "g", 40, 0.3)
+    return rescue(t.select("vec_id", "subset_id", F.col("pred").alias("cluster"), "g"), "vec_id", "cluster", "g", 100, 0.3, group="subset_id").select("vec_id", "cluster")
 
 
-@query()
+def _single(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions in which the quarter of the rows farthest from its fifth neighbour are clusters of their own."""
+    from weftline.operators.labels import singletons
+    from weftline.plans.label_queries import rows
+
+    s = singletons(rows(spark, d), "subset_id", "row_no", F.col("dist"), 0.25).where("relabelled >= 0").select("subset_id", "row_no", F.col("relabelled").alias("cluster"))
+    return cut(s.join(table(spark, d, "feature_rows").select("subset_id", "row_no", "g"), ["subset_id", "row_no"]))
+
+
+@query(f"""WITH {_PREDU}, p AS (SELECT a.subset_id, a.row_no, a.pred, row_number() OVER (PARTITION BY a.subset_id, a.row_no ORDER BY greatest(round((1 - list_dot_product(a.v, b.v)) * 1e6), 0), b.row_no) AS r, greatest(round((1 - list_dot_product(a.v, b.v)) * 1e6), 0) AS dist FROM (SELECT * FROM u) a JOIN (SELECT subset_id, row_no, list_transform(CAST(g AS DOUBLE[]), lambda x: CASE WHEN list_dot_product(CAST(g AS DOUBLE[]), CAST(g AS DOUBLE[])) > 0 THEN x / sqrt(list_dot_product(CAST(g AS DOUBLE[]), CAST(g AS DOUBLE[]))) ELSE x END) AS v FROM feature_rows WHERE g IS NOT NULL) b ON a.subset_id = b.subset_id AND a.row_no <> b.row_no),
+f AS (SELECT subset_id, row_no, row_number() OVER (PARTITION BY subset_id ORDER BY dist DESC, row_no) AS k, count(*) OVER (PARTITION BY subset_id) AS n FROM p WHERE r = 5),
+s AS (SELECT f.subset_id, 1000000 + k - 1 AS c, u.v FROM f JOIN u USING (subset_id, row_no) WHERE k <= floor(n * 0.25)),
+q AS (SELECT a.subset_id, a.c AS a, b.c AS b, greatest(round((1 - list_dot_product(a.v, b.v)) * 1e6), 0) / 1e6 AS dist FROM s a JOIN s b ON a.subset_id = b.subset_id AND a.c <> b.c), n1 AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY subset_id, a ORDER BY dist, b) = 1)
+SELECT x.subset_id, x.a, x.b, round(1 - x.dist, 6) AS sim FROM n1 x JOIN n1 y ON x.subset_id = y.subset_id AND x.a = y.b AND x.b = y.a WHERE x.a < x.b AND 1 - x.dist >= 0.8""")
 def j09_mutual_merges(spark: SparkSession, d: str) -> DataFrame:
+    """One round: the pairs of singletons that are each other's nearest and close enough."""
     from weftline.operators.labels import mutual_merges
 
-    t = table(spark, d, "feature_rows").where("g is not null and pred is not null")
-    return mutual_merges(t.select("subset_id", F.col("pred").alias("cluster"), "g"), "cluster", "g", 5, 0.5, group="subset_id")
+    t = _single(spark, d).where("cluster >= 1000000")
+    return mutual_merges(t, "cluster", "g", 1, 0.8, group="subset_id")
 
 
-@query(f"WITH {NN(10)}, t AS (SELECT src, dst FROM nn QUALIFY row_number() OVER (PARTITION BY src ORDER BY rank) <= 5), o AS (SELECT src, (dst * 7) % 500 AS dst FROM nn) SELECT n.src, round(count(o.dst) / 10.0, 6) AS recall FROM nn n LEFT JOIN (SELECT DISTINCT src, dst FROM o) o ON n.src = o.src AND n.dst = o.dst GROUP BY n.src")
-def j10_recall(spark: SparkSession, d: str) -> DataFrame:
-    nn = cut(neighbours(spark, d, 10))
-    other = nn.select("src", (F.col("dst") * 7 % 500).alias("dst")).distinct()
-    return K.recall(nn, other, 10).withColumn("recall", F.round("recall", 6))
+@query()
+def j09_merged_tiny(spark: SparkSession, d: str) -> DataFrame:
+    """Both stages with all their rounds, relabelled."""
+    from weftline.operators.labels import merge_tiny
+
+    return merge_tiny(_single(spark, d), "row_no", "cluster", "g", "subset_id")
 
 
 @query()
@@ -199,12 +227,6 @@ def c06_mutual_reachability(spark: SparkSession, d: str) -> DataFrame:
     return e.select("src", "dst", F.greatest("dist", "ca", "cb").alias("reach"))
 
 
-@query("WITH r AS (SELECT vec_id, (vec_id % 500) / 1000.0 AS rel FROM embeddings), b AS (SELECT vec_id, least(greatest((rel - 0.1) / 0.22, 0), 1) AS beta FROM r) SELECT vec_id, CAST(round_even(40 + 180 * beta, 0) AS INT) AS k, round(0.25 + 0.15 * beta, 6) AS fraction FROM b")
-def c08_adaptive_cut(spark: SparkSession, d: str) -> DataFrame:
-    beta = F.least(F.greatest((F.col("vec_id") % 500 / 1000.0 - 0.1) / 0.22, F.lit(0.0)), F.lit(1.0))
-    return emb(spark, d).select("vec_id", F.bround(40 + 180 * beta, 0).cast("int").alias("k"), F.round(0.25 + 0.15 * beta, 6).alias("fraction"))
-
-
 @query()
 def c13_baseline_pipeline(spark: SparkSession, d: str) -> DataFrame:
     from weftline.plans.pipelines import baseline
