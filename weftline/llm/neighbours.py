@@ -9,7 +9,7 @@ that many queries pop in step.  All vectors of the cells taken are reranked by t
 How many must be taken grows with the group and depends on the vectors, so ``budget`` is measured: of every field and
 size class of groups (powers of two), ``PROBES`` vectors chosen by hash are compared with all rows of their groups, the
 place of each true neighbour in the query's own traversal is counted, and the budget is the one that reaches the share
-``recall`` of them.  With ``recall`` of 1 every cell is visited and the result is exact.
+``recall`` of them, or ``LEAST_BUDGET``.  With ``recall`` of 1 every cell is visited and the result is exact.
 
 Layout for large groups: cells are packed into blocks of about ``BLOCK`` vectors, cells above that size are split; a
 task holds one block of queries and one block of candidates, never a whole group.  Equal vectors are searched once and
@@ -33,6 +33,8 @@ from weftline.session import cut
 FIT_ROWS, FIT_ROUNDS = 20_000, 12
 #: Vectors of each field and size class that the budget is measured on, and the share of neighbours to be found.
 PROBES, RECALL = 200, 0.99
+#: Candidates that are reranked at least: so few cost less than the search for them.
+LEAST_BUDGET = 2000
 BLOCK = 4096
 
 
@@ -178,7 +180,7 @@ def measured_budgets(celled: DataFrame, cells: DataFrame, books: dict, k: int, r
 
     needs = true.groupBy("field", "grp").cogroup(groups.groupBy("field", "grp")).applyInArrow(count, "field string, class int, need long")
     rows = needs.groupBy("field", "class").agg(F.percentile("need", F.lit(recall)).alias("b")).collect()
-    return {(r["field"], r["class"]): int(np.ceil(r["b"])) for r in rows}
+    return {(r["field"], r["class"]): max(int(np.ceil(r["b"])), LEAST_BUDGET) for r in rows}
 
 
 def nearest(df: DataFrame, id_col: str, group_col: str, fields: list[str], k: int = 10, budget: int | None = None, recall: float = RECALL, cells_for: int = 16) -> DataFrame:
