@@ -127,14 +127,19 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clusters, p1_r
 
 #: The visible text in SQL, as far as the tables' characters need it: full-width forms, blanks, what shows nothing, and
 #: lower-case letters of other scripts drawn like Latin ones.
-_FROM = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u00a0\u2002\u2003\u2009\u202f\u3000" + "".join(x.lower() for x in visible.LOOKALIKE_CYRILLIC.values())
-_TO = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " " * 6 + "".join(x.lower() for x in visible.LOOKALIKE_CYRILLIC)
+_WIDE = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | dict.fromkeys(["\u00a0", "\u1680", "\u202f", "\u205f", "\u3000", *map(chr, range(0x2000, 0x200B))], " ")
+_ALIKE = {v: k for t in (visible.LOOKALIKE_CYRILLIC, visible.LOOKALIKE_GREEK) for k, v in t.items() if k.islower()}
 _HIDDEN = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u034f\u200e\u200f"
 
 
+def _translate(x: str, by: dict[str, str], gone: str = "") -> str:
+    old, new = ("".join(part).replace("'", "''") for part in (by, by.values()))
+    return f"translate({x}, '{old}{gone}', '{new}')"
+
+
 def words_sql(text: str) -> str:
     """The list of words of the visible text."""
-    shown = f"translate(lower(nfc_normalize(translate({text}, '{_FROM[:100]}{_HIDDEN}', '{_TO[:100]}'))), '{_FROM[100:]}', '{_TO[100:]}')"
+    shown = f"nfc_normalize({_translate('lower(' + _translate(text, _WIDE, _HIDDEN) + ')', _ALIKE)})"
     return rf"regexp_extract_all({shown}, '[\pL\p{{Nd}}]+')"
 
 
