@@ -59,6 +59,19 @@ def test_covering_guarantee():
             assert any(not odd[v, i] and not odd[v, j] for v in range(width))
 
 
+def test_number_of_parts():
+    assert nearcopies.parts_for(0.5, 2, 0.0051) == 16 and nearcopies.parts_for(0.8, 2, 0.0005) == 4 and nearcopies.parts_for(1.0, 2, 0.01) == 1
+
+
+def test_keys_are_not_broadcast(spark):
+    """The table of keys has many rows for each record: no estimate may put it into a broadcast."""
+    docs = frame(spark, [(i, " ".join(base(i, 40))) for i in range(20)])
+    _, links = nearcopies.similar_sets(docs, "doc_id", "text")
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchangeExec", "")
+    small = nearcopies.cut(docs)
+    assert int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 1 << 40
+
+
 def test_leaks_with_places(spark):
     item = " ".join(base(5, 30))
     doc = "Before. " + item[:3].upper() + item[3:] + " after"

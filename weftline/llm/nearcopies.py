@@ -9,8 +9,10 @@ that differ in at most ``radius`` coordinates of some part are certain to agree
 the covering property.  With the default radius 2 a part is a Fano plane: 7 coordinates, 7 tables, 4 read by each.
 
 Sketches differ in a coordinate with probability 1 - J, so a pair of Jaccard similarity 0.5 is covered by one part
-with probability 0.28 and by 16 parts with 0.995; at 0.55 it is 0.9995, at 0.8 the failure chance is under 1e-12.
-Every candidate is verified exactly on the sets of hashes.
+with probability 0.28 and by 16 parts with 0.995; at 0.55 it is 0.9995.  At 0.8 one part covers with 0.875 and four with
+0.9998.  ``parts_for`` gives the least number of parts that keeps the chance to miss a pair at the threshold below a
+bound, so a record is listed under no more keys than that takes.  Every candidate is verified exactly on the sets of
+hashes.
 
 Defined results: null ids and texts, and texts of fewer than ``min_words`` words, take no part.  Records with equal
 sets form one class before any pairing, represented by the smallest id, so copies cost one representative however
@@ -31,6 +33,16 @@ from weftline.operators.graph import connected_components
 from weftline.session import cut, spread
 
 
+def parts_for(similarity: float, radius: int, miss: float) -> int:
+    """Least number of parts that leaves a pair of this similarity uncovered with at most the chance ``miss``."""
+    width = 2 ** (radius + 1) - 1
+    agree = [sum(1 << i for i in range(width) if not bin((v + 1) & (i + 1)).count("1") & 1) for v in range(width)]
+    # a pattern of differing coordinates is covered if some table reads none of them
+    hit = [bin(d).count("1") for d in range(1 << width) if any(d & a == d for a in agree)]
+    covered = sum(similarity ** (width - k) * (1 - similarity) ** k for k in hit)
+    return max(1, int(np.ceil(np.log(miss) / np.log(max(1 - covered, 1e-12)))))
+
+
 def _whole(w: words.Words, rows: np.ndarray) -> np.ndarray:
     """A hash of all words of each of the rows, in order; it depends on their number."""
     count = np.diff(w.off)[rows]
@@ -102,11 +114,13 @@ def similar_sets(
     num: int = 4,
     den: int = 5,
     min_words: int = 1,
-    parts: int = 16,
+    miss: float = 0.0005,
     radius: int = 2,
 ) -> tuple[DataFrame, DataFrame]:
     """Membership (id, rep) of every record that takes part, and links (a, b, inter, size_a, size_b) with a < b
-    between representatives whose sets have a Jaccard similarity of at least ``num / den``."""
+    between representatives whose sets have a Jaccard similarity of at least ``num / den``; one at the threshold is
+    missed with the chance ``miss``."""
+    parts = parts_for(num / den, radius, miss)
     sets = cut(_sets(df, id_col, text_col, shingle, min_words, parts, radius))
     first = sets.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     member = cut(sets.select("id", "h1", "h2").join(first, ["h1", "h2"]).select("id", "rep"))

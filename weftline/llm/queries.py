@@ -87,7 +87,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
-    member, links = nearcopies.similar_sets(docs, "doc_id", "text", shingle=3, num=1, den=2, min_words=25)
+    member, links = nearcopies.similar_sets(docs, "doc_id", "text", shingle=3, num=1, den=2, min_words=25, miss=0.0051)
     return nearcopies.similar_pairs(member, links, "doc_a", "doc_b")
 
 
