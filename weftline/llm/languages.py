@@ -150,7 +150,11 @@ def _calibrate(m: Model, x: np.ndarray, off: np.ndarray, lang: np.ndarray, held:
     if len(z):
         # the order statistic that leaves at most REJECTED above it, and no less than the largest of a small sample
         limit = mean + max(np.sort(z)[min(len(z) - 1, int(np.ceil(len(z) * (1 - REJECTED))))], 3.0) * dev
-        limit = np.where(np.isnan(limit), np.inf, limit)
+        # a class of few sentences takes the limit of the nearest one that has enough, the wider one of two
+        for k in range(n_langs):
+            have = np.flatnonzero(~np.isnan(limit[k]))
+            for c in np.flatnonzero(np.isnan(limit[k])):
+                limit[k, c] = max((limit[k, h] for h in have if abs(h - c) == abs(have - c).min()), default=np.inf)
     fx, f_off = _cut_out(x, off, held, FRAGMENT)
     size = np.diff(f_off)
     cost = (_entropy(m, _grams(fx, f_off), f_off) * size[:, None])[size > 0]
