@@ -4,30 +4,51 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftline.functions.text import has_cjk
 
 LONGEST_WORD = 100
 
 
-@F.pandas_udf(T.StringType())
-def normalise(s: pd.Series) -> pd.Series:
-    """Controls dropped, CJK spaced, accents removed, lower case."""
+#: Entries a vocabulary may have.
+MOST_PIECES = 1_000_000
 
-    def one(t: str | None) -> str | None:
-        if not isinstance(t, str):
-            return None
-        if not t.isascii():
-            t = "".join(" " if c in "\t\n\r" or c.isspace() else c for c in t if c in "\t\n\r" or (c != "�" and unicodedata.category(c)[0] != "C"))
-            t = "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
-        return t.lower()
 
-    return s.map(one)
+@lru_cache(maxsize=1)
+def _bare() -> tuple[str, str]:
+    """Characters that decompose into one character and marks, and those characters."""
+    pairs = []
+    for cp in range(0xC0, 0x10000):
+        whole = unicodedata.normalize("NFD", chr(cp))
+        base = "".join(c for c in whole if unicodedata.category(c) != "Mn")
+        if len(base) == 1 and base != chr(cp) and not 0xD800 <= cp < 0xE000:
+            pairs.append((chr(cp), base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def _jamo(c: Column) -> Column:
+    """A Hangul syllable as its two or three letters, by the arithmetic of their code points; others unchanged."""
+    letters = [F.array(*[F.lit(chr(first + i)) for i in range(n)]) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A7, 28))]
+    n = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int") - 0xAC00
+    last = F.when(n % 28 > 0, F.element_at(letters[2], n % 28 + 1)).otherwise("")
+    whole = F.concat(F.element_at(letters[0], F.floor(n / 588).cast("int") + 1), F.element_at(letters[1], F.floor(n % 588 / 28).cast("int") + 1), last)
+    return F.when((c >= "\uac00") & (c <= "\ud7a3"), whole).otherwise(c)
+
+
+def normalise(c: Column) -> Column:
+    """Controls dropped, white space to blanks, accents removed, lower case, in built-in expressions only.
+
+    Vowel signs that decompose into two spacing ones stay composed."""
+    t = F.regexp_replace(c, r"[\t\n\r\p{Z}\x1c-\x1f\x85]", " ")
+    t = F.regexp_replace(F.regexp_replace(t, "\ufffd", ""), r"[\p{C}]", "")
+    spelt = F.array_join(F.transform(F.split(t, ""), _jamo), "")
+    t = F.when(t.rlike("[\uac00-\ud7a3]"), spelt).otherwise(t)
+    return F.lower(F.regexp_replace(F.translate(t, *_bare()), r"\p{Mn}", ""))
 
 
 def split_words(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -56,7 +77,10 @@ def match(word: str, vocab: dict[str, int], unk: int) -> list[int]:
 
 def encode(df: DataFrame, keys: list[str], text_col: str, pieces: DataFrame, most: int = 128) -> DataFrame:
     """(keys..., ids): piece ids framed by [CLS] and [SEP], at most ``most``.  Each distinct word is matched once."""
-    vocab = {r.piece: r.piece_id for r in pieces.select("piece", "piece_id").limit(1_000_000).collect()}
+    n = pieces.count()
+    if n > MOST_PIECES:
+        raise ValueError(f"{n} pieces; a vocabulary has at most {MOST_PIECES}")
+    vocab = {r.piece: r.piece_id for r in pieces.select("piece", "piece_id").collect()}
     unk, cls, sep = (vocab[x] for x in ("[UNK]", "[CLS]", "[SEP]"))
     shared = df.sparkSession.sparkContext.broadcast(vocab)  # a vocabulary file of fixed size
 

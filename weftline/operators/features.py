@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
+from weftline.session import cut
 
 
 def counts(df: DataFrame, keys: list[str], terms: Column) -> DataFrame:
@@ -52,20 +53,49 @@ def hashed(tf: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     return unit(cells.select(*keys, "bucket", F.log1p("n").alias("value")), keys)
 
 
-def window_pairs(df: DataFrame, keys: list[str], terms: Column, width: int) -> DataFrame:
-    """(a, b, n): symmetric counts of terms that follow each other within ``width`` places."""
+def window_pairs(df: DataFrame, keys: list[str], terms: Column, width: int, by: list[str] | None = None) -> DataFrame:
+    """([by...,] a, b, n): symmetric counts of terms that follow each other within ``width`` places, for each of ``by``."""
+    by = by or []
     t = df.select(*keys, terms.alias("t")).where("size(t) > 1")
     near = F.flatten(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.transform(F.slice(F.col("t"), i + 1, width), lambda b: F.struct(F.element_at(F.col("t"), i).alias("a"), b.alias("b")))))
-    one = t.select(F.inline(near)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def ppmi(pairs: DataFrame) -> DataFrame:
-    """(a, b, value): positive pointwise mutual information of pair counts."""
-    row = pairs.groupBy("a").agg(F.sum("n").alias("r"))
-    total = pairs.agg(F.sum("n").alias("s"))
-    q = pairs.join(row, "a").join(row.select(F.col("a").alias("b"), F.col("r").alias("c")), "b").join(F.broadcast(total))
-    return q.select("a", "b", F.log(F.col("n") * F.col("s") / (F.col("r") * F.col("c"))).alias("value")).where("value > 0")
+    one = t.select(*by, F.inline(near)).groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return one.unionByName(one.select(*by, F.col("b").alias("a"), F.col("a").alias("b"), "n")).groupBy(*by, "a", "b").agg(F.sum("n").alias("n"))
+
+
+def ppmi(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """([by...,] a, b, value): positive pointwise mutual information of pair counts, for each of ``by``."""
+    by = by or []
+    row = pairs.groupBy(*by, "a").agg(F.sum("n").alias("r"))
+    total = pairs.groupBy(*by).agg(F.sum("n").alias("s"))
+    q = pairs.join(row, [*by, "a"]).join(row.select(*by, F.col("a").alias("b"), F.col("r").alias("c")), [*by, "b"])
+    q = q.join(total, by) if by else q.join(F.broadcast(total))
+    return q.select(*by, "a", "b", F.log(F.col("n") * F.col("s") / (F.col("r") * F.col("c"))).alias("value")).where("value > 0")
+
+
+def grouped_weights(tf: DataFrame, group: str, id_col: str, kind: str = "tfidf", min_df: int = 2, max_df: float = 0.95, few: int = 50, max_features: int | None = None) -> DataFrame:
+    """(group, id, term, value): TF-IDF or Okapi weights with the statistics of each group, rows of unit length.
+
+    Where a group has fewer than ``few`` rows, or none of its terms is frequent enough, its terms need one row only: the
+    vocabulary of a group with terms is never empty.  ``max_features`` keeps the most frequent terms of a group.
+    """
+    tf = cut(tf.select(group, id_col, "term", "tf"))
+    n = tf.select(group, id_col).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    vocab = tf.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).join(n, group)
+    vocab = vocab.withColumn("ok", (F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")) & (F.col("n") >= few))
+    vocab = vocab.withColumn("some", F.max("ok").over(Window.partitionBy(group))).where("ok or not some")
+    if max_features:
+        best = Window.partitionBy(group).orderBy(F.desc("cf"), "term")
+        vocab = vocab.withColumn("r", F.row_number().over(best)).where(F.col("r") <= max_features)
+    p = tf.join(vocab.select(group, "term", "df", "n"), [group, "term"])
+    if kind == "tfidf":
+        value = (1 + F.log("tf")) * (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1)
+    else:
+        dl = p.groupBy(group, id_col).agg(F.sum("tf").alias("dl"))
+        mean = dl.groupBy(group).agg(F.avg("dl").alias("avgdl"))
+        p = p.join(dl, [group, id_col]).join(mean, group)
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        value = idf * F.col("tf") * 4.0 / (F.col("tf") + 3.0 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
+    return unit(p.select(group, id_col, "term", value.alias("value")), [group, id_col])
 
 
 def document_pairs(df: DataFrame, keys: list[str], terms: Column, vocab: DataFrame) -> DataFrame:

@@ -159,3 +159,78 @@ def truncated_svd(tf: DataFrame, keys: list[str], k: int, term: str = "term", va
     v = q @ rot[:, order]
     v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)
     return Decomposition(rows, keys, vocab, np.sqrt(np.maximum(val[order], 0)), v)
+
+
+# ---- one matrix for each group -------------------------------------------------------------------------------------
+
+#: Rows that a group may have: a group, as a request is one, is decomposed by one task.
+MOST_ROWS = 200_000
+
+
+def _subspace(off: np.ndarray, at: np.ndarray, val: np.ndarray, m: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(coordinates, singular values) of sparse rows, by the passes of the distributed form."""
+    n, width = len(off) - 1, min(k + EXTRA, m, len(off) - 1)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(m, width)))[0]
+    by = np.argsort(at, kind="stable")
+    row = np.repeat(np.arange(n), np.diff(off))[by]
+    back = np.searchsorted(at[by], np.arange(m + 1))
+
+    def times(off_: np.ndarray, at_: np.ndarray, val_: np.ndarray, x: np.ndarray) -> np.ndarray:
+        parts = [_times(off_[lo : lo + _CHUNK + 1] - off_[lo], at_[off_[lo] : off_[min(lo + _CHUNK, len(off_) - 1)]], val_[off_[lo] : off_[min(lo + _CHUNK, len(off_) - 1)]], x) for lo in range(0, len(off_) - 1, _CHUNK)]
+        return np.concatenate(parts)
+
+    for _ in range(PASSES):
+        q = np.linalg.qr(times(back, row, val[by], times(off, at, val, q)))[0]
+    y = times(off, at, val, q)
+    val2, rot = np.linalg.eigh(y.T @ y)
+    order = np.argsort(-val2)[:k]
+    return y @ rot[:, order], np.sqrt(np.maximum(val2[order], 0))
+
+
+def grouped_svd(long: DataFrame, group: str, id_col: str, k: int, term: str = "term", value: str = "value", seed: int = 42) -> DataFrame:
+    """(group, id, v): each group's rows in the ``k`` leading singular dimensions of the group's own matrix, fewer where
+    it has fewer rows or terms.  A group above ``MOST_ROWS`` rows is an error."""
+    rows = long.groupBy(group, id_col).agg(F.collect_list(F.struct(F.xxhash64(term).alias("t"), F.col(value).cast("double").alias("x"))).alias("e"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        if t.num_rows > MOST_ROWS:
+            raise ValueError(f"a group of {t.num_rows} rows; at most {MOST_ROWS} are decomposed together")
+        t = t.sort_by(id_col)
+        lists = t.column("e").combine_chunks()
+        flat = lists.flatten()
+        off = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+        terms, at = np.unique(flat.field("t").to_numpy(), return_inverse=True)
+        y, _ = _subspace(off, at, flat.field("x").to_numpy(), len(terms), k, seed)
+        v = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
+        return pa.table([t.column(group), t.column(id_col), v], names=[group, id_col, "v"])
+
+    return rows.groupBy(group).applyInArrow(run, f"{group} {kinds[group]}, {id_col} {kinds[id_col]}, v array<double>")
+
+
+def grouped_means(weights: DataFrame, vectors: DataFrame, group: str, id_col: str, weight: str) -> DataFrame:
+    """(group, id, v): means of the vectors (group, term, v) of each row's terms (group, id, term, weight), inside groups."""
+    rows = weights.groupBy(group, id_col).agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col(weight).cast("double").alias("x"))).alias("e"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    known = vectors.select(group, F.xxhash64("term").alias("t"), "v")
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], left.schema.field(group).type), pa.array([], left.schema.field(id_col).type), pa.array([], pa.list_(pa.float64()))], names=[group, id_col, "v"])
+        right = right.sort_by("t")
+        names, m = right.column("t").to_numpy(), right.column("v").combine_chunks()
+        m = m.flatten().to_numpy().reshape(len(names), -1)
+        lists = left.column("e").combine_chunks()
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        t, x = flat.field("t").to_numpy(), flat.field("x").to_numpy()
+        at = np.minimum(np.searchsorted(names, t), len(names) - 1)
+        yes = names[at] == t
+        row, at, x = row[yes], at[yes], x[yes]
+        total = np.bincount(row, x, len(lists))
+        y = np.concatenate([_times(np.searchsorted(row[(row >= lo) & (row < lo + _CHUNK)], np.arange(lo, min(lo + _CHUNK, len(lists)) + 1)), at[(row >= lo) & (row < lo + _CHUNK)], x[(row >= lo) & (row < lo + _CHUNK)], m) for lo in range(0, len(lists), _CHUNK)])
+        y = y / np.where(total > 0, total, 1)[:, None]
+        v = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
+        return pa.table([left.column(group), left.column(id_col), v], names=[group, id_col, "v"])
+
+    return rows.groupBy(group).cogroup(known.groupBy(group)).applyInArrow(run, f"{group} {kinds[group]}, {id_col} {kinds[id_col]}, v array<double>")

@@ -234,6 +234,65 @@ def c13_baseline_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return baseline(table(spark, d, "bench_rows"), "subset_id", "row_no", "text")
 
 
+@query()
+def c13_leader_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.plans.pipelines import leader
+
+    return leader(table(spark, d, "bench_rows"), "subset_id", "row_no", "text")
+
+
+@query()
+def c02_fallback(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.plans.pipelines import fallback
+
+    return fallback(table(spark, d, "bench_rows"), "subset_id", "row_no", "text")
+
+
+@query()
+def c03_large_batch(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.plans.pipelines import large_batch
+
+    return large_batch(table(spark, d, "bench_rows"), "subset_id", "row_no", "text")
+
+
+@query()
+def l06_resplit(spark: SparkSession, d: str) -> DataFrame:
+    """Five clusters of each subset, those above 15 % of it replaced by their parts in the cut into forty."""
+    from weftline.operators.clustering import average_linkage
+
+    return average_linkage(table(spark, d, "feature_rows").where("g is not null"), "subset_id", "row_no", "g", 5, resplit=40)
+
+
+@query()
+def c13_encoder_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Texts through the encoder, neighbour graph, layout and density clusters; the weights are seeded."""
+    from weftline.plans.pipelines import layout_and_density
+
+    v = cut(n02_encoder(spark, d))
+    return layout_and_density(v, "subset_id", "row_no", "v")
+
+
+@query()
+def e02_fuzzy_spectral(spark: SparkSession, d: str) -> DataFrame:
+    """Spectral embedding of the fuzzy graph with self-loops, in eight dimensions."""
+    from weftline.operators.layout import spectral
+
+    g = K.fuzzy_graph(cut(neighbours(spark, d, 15)), 15).select(F.lit(0).cast("long").alias("subset_id"), "src", "dst", "w")
+    return spectral(g, "subset_id", 8, loops=True)
+
+
+@query()
+def n01_relative_encoder(spark: SparkSession, d: str) -> DataFrame:
+    """The encoder with relative positions, the error-function form of its activation and a head; seeded weights."""
+    from weftline.functions.wordpiece import encode
+    from weftline.operators.encoder import Weights, encode_ids
+
+    rows = table(spark, d, "bench_rows").select("subset_id", "row_no", "text")
+    pieces = table(spark, d, "vocab_pieces")
+    ids = encode(rows, ["subset_id", "row_no"], "text", pieces, 64)
+    return encode_ids(ids, ["subset_id", "row_no"], Weights.random(pieces.count(), 32, 2, 4, out=16, buckets=32))
+
+
 @query()
 def c13_small_pipeline(spark: SparkSession, d: str) -> DataFrame:
     from weftline.plans.pipelines import layout_and_density

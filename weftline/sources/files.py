@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -93,3 +93,39 @@ def append_missing(df: DataFrame, path: str, key: str, spark: SparkSession, know
 
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """JSON lines in place of what was there."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_arrays(df: DataFrame, path: str) -> None:
+    """Array columns, in place of what was there, as Parquet: the engine's form of array files."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def fetch_missing(keys: DataFrame, key: str, fetch: Callable[[str], str], path: str, stored: bool, workers: int = 6, tries: int = 3) -> None:
+    """Append (key, body, error) of the keys that are not stored yet with a body, fetched by at most ``workers`` tasks.
+
+    A failing key is tried ``tries`` times; then its error is stored and a later call tries it again.  Nulls are left out.
+    """
+    todo = keys.select(F.col(key).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct()
+    if stored:
+        todo = todo.join(keys.sparkSession.read.parquet(path).where("body is not null").select(key), key, "left_anti")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for k in pdf[key]:
+                body = error = None
+                for _ in range(tries):
+                    try:
+                        body, error = fetch(k), None
+                        break
+                    except Exception as e:  # noqa: BLE001 - whatever the fetcher raises is stored
+                        error = f"{type(e).__name__}: {e}"
+                out.append((k, body, error))
+            yield pd.DataFrame(out, columns=[key, "body", "error"])
+
+    todo.repartition(workers).mapInPandas(run, f"{key} string, body string, error string").write.mode("append").parquet(path)
