@@ -7,8 +7,8 @@ cross-entropy per character, or none where that exceeds what held-out sentences
 short to be told by themselves are told together, as one text, where their document has no other.
 
 Rejection and confidence are calibrated on the tenth of the sentences that no model has seen.  A sentence is rejected
-above mean + z deviations of its language and length class, z being the least that rejects at most ``REJECTED`` of the
-held-out ones.  The confidence is the posterior of the languages at the temperature that makes short held-out
+above a limit half way between two levels: mean + z deviations of its language and length class, z being the least that
+rejects at most ``REJECTED`` of the held-out ones, and what the nearest hundredth of other languages' sentences show.  The confidence is the posterior of the languages at the temperature that makes short held-out
 fragments, on which errors occur, most likely; ``Model.reliability`` is what is left of its calibration error.
 
 The models are fitted on a bounded sample of labelled rows: ``FIT_DOCS`` documents per language, of those of at most
@@ -137,7 +137,8 @@ def _calibrate(m: Model, x: np.ndarray, off: np.ndarray, lang: np.ndarray, held:
     if not len(held):
         return m._replace(limit=limit)
     hx, h_off = _cut_out(x, off, held, None)
-    ce = _entropy(m, _grams(hx, h_off), h_off)[np.arange(len(held)), lang[held]]
+    all_ce = _entropy(m, _grams(hx, h_off), h_off)
+    ce = all_ce[np.arange(len(held)), lang[held]]
     kind = _length_class(np.diff(h_off))
     mean, dev = np.full((n_langs, kinds), np.nan), np.full((n_langs, kinds), np.nan)
     for k in range(n_langs):
@@ -150,6 +151,11 @@ def _calibrate(m: Model, x: np.ndarray, off: np.ndarray, lang: np.ndarray, held:
     if len(z):
         # the order statistic that leaves at most REJECTED above it, and no less than the largest of a small sample
         limit = mean + max(np.sort(z)[min(len(z) - 1, int(np.ceil(len(z) * (1 - REJECTED))))], 3.0) * dev
+        # half way to what the other languages' sentences show, so that slips and single foreign words do not reject
+        for k in range(n_langs):
+            other = all_ce[(lang[held] != k) & (kind > 0), k]
+            if len(other):
+                limit[k] = np.maximum(limit[k], (limit[k] + np.quantile(other, 0.01)) / 2)
         # a class of few sentences takes the limit of the nearest one that has enough, the wider one of two
         for k in range(n_langs):
             have = np.flatnonzero(~np.isnan(limit[k]))
