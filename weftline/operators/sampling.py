@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import stable_hash, stable_uniform
@@ -76,3 +77,89 @@ def length_batches(df: DataFrame, key: str, length: str, budget: int, salts: int
     cuts = spark.createDataFrame(spans, "n int, lo long, hi long, first long, room long")  # two spans of a length at most
     placed = ranked.join(cuts, "n").where("rank >= lo and rank < hi")
     return placed.select(key, F.col("n").alias(length), (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("room"))).cast("long").alias("batch"))
+
+
+#: Labels whose quotas are drawn on the driver, at most.
+MOST_LABELS = 100_000
+
+
+def _digest(seed: int, what: str, key: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:{what}:"), F.col(key).cast("string")))
+
+
+def topic_quotas(sizes: dict[str, int], n: int, seed: int, topics: tuple[int, int] = (15, 50), least: int = 150) -> dict[str, int]:
+    """How many of ``n`` rows each focus topic gets: some topics of at least ``least`` rows, with weights from a shifted
+    Pareto law, and a multinomial draw limited by the topic's rows."""
+    rng = np.random.default_rng(seed)
+    large = sorted(k for k, v in sizes.items() if v >= least)
+    chosen = rng.choice(large, min(len(large), int(rng.integers(*topics))), replace=False) if large else []
+    weight = rng.pareto(1.2, len(chosen)) + 0.3
+    drawn = rng.multinomial(n, weight / weight.sum()) if len(chosen) else []
+    return {str(k): int(min(c, sizes[str(k)])) for k, c in zip(chosen, drawn, strict=True) if c}
+
+
+def topic_subset(df: DataFrame, key: str, text: str, label: str, n: int, seed: int, focus: float = 0.7, **how) -> DataFrame:  # noqa: ANN003
+    """(key, label, focus, place): ``n`` rows of different texts, a share ``focus`` of them from focus topics by
+    :func:`topic_quotas`, the others from all remaining rows, in a seeded order.
+
+    Of rows with one text the smallest key counts; null labels are no topic; missing rows are topped up from the rest.
+    """
+    rows = df.where(F.col(text).isNotNull() & (F.trim(text) != "")).groupBy(text).agg(F.min(F.struct(key, label)).alias("r")).select("r.*")
+    sizes = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    kinds = sizes.count()
+    if kinds > MOST_LABELS:
+        raise ValueError(f"{kinds} labels; at most {MOST_LABELS} get quotas")
+    quotas = topic_quotas({r[label]: r.n for r in sizes.collect()}, int(n * focus), seed, **how)
+    table = df.sparkSession.createDataFrame(list(quotas.items()), f"{label} string, quota long")
+    first = Window.partitionBy(label).orderBy(_digest(seed, "focus", key), key)
+    ranked = rows.join(table, label, "left")
+    ranked = ranked.withColumn("focus", F.coalesce(F.row_number().over(first) <= F.col("quota"), F.lit(False)))
+    picked = ranked.orderBy(F.desc("focus"), _digest(seed, "rest", key), key).limit(n)
+    place = F.row_number().over(Window.orderBy(_digest(seed, "place", key), key))  # the sample of ``n`` rows is ranked
+    return picked.select(key, label, "focus", place.alias("place"))
+
+
+def group_mix(df: DataFrame, key: str, group: str, n: int, seed: int, shares: dict[str, float] | None = None, alpha: float = 1.0) -> DataFrame:
+    """(key, group): ``n`` rows without replacement, groups mixed by ``shares`` jittered by 0.7 to 1.3, or by a
+    Dirichlet draw where none are given; inside a group all rows have the same chance."""
+    rng = np.random.default_rng(seed)
+    sizes = {r[group]: r["count"] for r in df.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(group).collect()}
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"{len(sizes)} groups; at most {MOST_LABELS} are mixed")
+    names = sorted(sizes)
+    mix = np.array([shares.get(x, 0.0) for x in names]) * rng.uniform(0.7, 1.3, len(names)) if shares is not None else rng.dirichlet(np.full(len(names), alpha)) if names else np.zeros(0)
+    weights = [(x, float(m / sizes[x])) for x, m in zip(names, mix, strict=True)]
+    table = df.sparkSession.createDataFrame(weights, f"{group} string, __w double")
+    return weighted(df.select(key, group).join(table, group), key, "__w", n, seed).select(key, group)
+
+
+def left_out_folds(df: DataFrame, group: str) -> DataFrame:
+    """(held_out, group, rows): for every group left out, which groups a model is fitted on and how many rows they have."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
+    held = sizes.select(F.col(group).alias("held_out"))
+    return held.join(sizes, F.col("held_out") != F.col(group)).select("held_out", group, "rows")
+
+
+def simulated_rounds(units: DataFrame, rounds: int, seed: int, many: int = 3, one: int = 1) -> DataFrame:
+    """(round, gain): in each round ``many`` different subsets of the main domain and ``one`` of the others, one random
+    unit (variant and order) of each, and the gain of the mean score of the second solution over the first, in percent.
+
+    ``units`` are (subset_id, main, one, other), a table of scores: at most ``MOST_LABELS`` rows.  A domain with fewer
+    subsets gives all it has.
+    """
+    n = units.count()
+    if n > MOST_LABELS:
+        raise ValueError(f"{n} units; at most {MOST_LABELS} are drawn from")
+    by = units.groupBy("main", "subset_id").agg(F.array_sort(F.collect_list(F.struct("one", "other"))).alias("u"))
+    packed = by.groupBy().agg(F.array_sort(F.collect_list(F.when(F.col("main"), F.struct("subset_id", "u")))).alias("m"), F.array_sort(F.collect_list(F.when(~F.col("main"), F.struct("subset_id", "u")))).alias("o"))
+    r = units.sparkSession.range(rounds).withColumnRenamed("id", "round").join(F.broadcast(packed))
+    text = lambda *x: F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), *[y.cast("string") for y in x])
+
+    def draw(c: str, k: int) -> Column:
+        order = F.array_sort(F.transform(c, lambda s: F.struct(stable_hash(text(s.subset_id)).alias("h"), s.alias("s"))))
+        return F.transform(F.slice(order, 1, k), lambda x: F.element_at(x.s.u, (stable_hash(text(x.s.subset_id, F.lit("unit"))) % F.size(x.s.u) + 1).cast("int")))
+
+    picks = F.concat(draw("m", many), draw("o", one))
+    mean = lambda f: F.aggregate("p", F.lit(0.0), lambda a, x: a + f(x)) / F.size("p")
+    out = r.select("round", picks.alias("p")).where("size(p) > 0").select("round", mean(lambda x: x.one).alias("one"), mean(lambda x: x.other).alias("other"))
+    return out.where("one <> 0").select("round", (100 * (F.col("other") / F.col("one") - 1)).alias("gain"))

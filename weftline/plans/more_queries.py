@@ -253,16 +253,6 @@ def sampling_p09_per_file_then_shuffle(spark: SparkSession, d: str) -> DataFrame
     return top.select("src", "post_id", F.row_number().over(Window.orderBy(digest("g:"), "post_id")).alias("place"))
 
 
-@query()
-def r04_simulated_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """Chance that the mean of four seeded draws of scores passes thresholds, over 20,000 rounds.  The given table
-    does not name domains, variants or orders, so the draws are pooled."""
-    from weftline.operators.sampling import bootstrap
-
-    b = bootstrap(table(spark, d, "cluster_responses"), "took_s", 20_000, 4, draws=4)
-    return b.agg(*[F.avg((F.col("mean") > t).cast("double")).alias(f"above_{t}") for t in (40, 60, 80)])
-
-
 @query()
 def f19_noise_features(spark: SparkSession, d: str) -> DataFrame:
     return noise.features(spark, d)
@@ -286,19 +276,38 @@ def t14_cut_again(spark: SparkSession, d: str) -> DataFrame:
     return t.select("request_id", X.encode_ids(F.slice("ids", 2, 30), 32, 101, 102).alias("ids"))
 
 
-_U = f"WITH {BENCH_TF_SQL}, n AS (SELECT count(*) AS n FROM bench_rows), df AS (SELECT term, count(*) AS df FROM tf, n GROUP BY term, n HAVING count(*) >= 2 AND count(*) <= 0.95 * n), w AS (SELECT subset_id, row_no, term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS v FROM tf JOIN df USING (term), n), u AS (SELECT subset_id, row_no, term, v / sqrt(sum(v * v) OVER (PARTITION BY subset_id, row_no)) AS x FROM w)"
+def _cos_sql(tf: str, out: str) -> str:
+    """Clauses of the unit TF-IDF rows ``out`` of the counts ``tf``."""
+    return f"{out}_df AS (SELECT term, count(*) AS df FROM {tf}, n GROUP BY term, n HAVING count(*) >= 2 AND count(*) <= 0.95 * n), {out}_w AS (SELECT subset_id, row_no, term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS v FROM {tf} JOIN {out}_df USING (term), n), {out} AS (SELECT subset_id, row_no, term, v / sqrt(sum(v * v) OVER (PARTITION BY subset_id, row_no)) AS x FROM {out}_w)"
+
+
+_PAIR_SIM = "{o}_s AS (SELECT nn.subset_id, nn.src, nn.dst, sum(a.x * b.x) AS sim FROM nn JOIN {o} a ON a.subset_id = nn.subset_id AND a.row_no = nn.src JOIN {o} b ON b.subset_id = nn.subset_id AND b.row_no = nn.dst AND a.term = b.term GROUP BY ALL)"
 
 
-@query(f"{_U}, s AS (SELECT a.subset_id, a.row_no, sum(a.x * b.x) AS sim FROM u a JOIN u b ON a.subset_id = b.subset_id AND b.row_no = a.row_no + 1 AND a.term = b.term GROUP BY ALL), g AS (SELECT a.subset_id, a.row_no, list_dot_product(CAST(a.proj_bd AS DOUBLE[]), CAST(b.proj_bd AS DOUBLE[])) AS sim FROM feature_rows a JOIN feature_rows b ON a.subset_id = b.subset_id AND b.row_no = a.row_no + 1 WHERE a.proj_bd IS NOT NULL AND b.proj_bd IS NOT NULL) SELECT g.subset_id, g.row_no, round(0.35 * g.sim + 0.65 * coalesce(s.sim, 0), 6) AS sim FROM g LEFT JOIN s ON g.subset_id = s.subset_id AND g.row_no = s.row_no")
+@query(f"""WITH {BENCH_TF_SQL}, n AS (SELECT count(*) AS n FROM bench_rows), c0 AS (SELECT subset_id, row_no, '#' || unnest(list_transform(range(1, length({Q.clean('text')}) - 1), lambda i: substr({Q.clean('text')}, i, 3))) AS term FROM bench_rows WHERE length({Q.clean('text')}) >= 3),
+ctf AS (SELECT subset_id, row_no, term, count(*) AS tf FROM c0 GROUP BY ALL), {_cos_sql('tf', 'w')}, {_cos_sql('ctf', 'c')}, {knn_sql('g', 10)}, {_PAIR_SIM.format(o='w')}, {_PAIR_SIM.format(o='c')},
+m AS (SELECT subset_id, CASE WHEN median(length(text)) < 120 THEN 0.35 ELSE 0.1 END AS q FROM bench_rows WHERE text IS NOT NULL GROUP BY subset_id)
+SELECT nn.subset_id, nn.src, nn.dst, round(q * (1 - nn.dist) + (1 - q) / 2 * (coalesce(w_s.sim, 0) + coalesce(c_s.sim, 0)), 6) AS sim FROM nn JOIN m USING (subset_id)
+LEFT JOIN w_s ON w_s.subset_id = nn.subset_id AND w_s.src = nn.src AND w_s.dst = nn.dst LEFT JOIN c_s ON c_s.subset_id = nn.subset_id AND c_s.src = nn.src AND c_s.dst = nn.dst""")
 def f15_blended_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity of successive rows as a weighted sum of the dense and the term similarity."""
-    u = bench_tfidf(spark, d)
-    nxt = u.select("subset_id", (F.col("row_no") - 1).alias("row_no"), "term", F.col("value").alias("other"))
-    terms = u.join(nxt, [*BENCH, "term"]).groupBy(*BENCH).agg(F.sum(F.col("value") * F.col("other")).alias("t"))
-    g = table(spark, d, "feature_rows").where("proj_bd is not null").select(*BENCH, "proj_bd")
-    pair = g.join(g.select("subset_id", (F.col("row_no") - 1).alias("row_no"), F.col("proj_bd").alias("other")), BENCH)
-    dense = pair.select(*BENCH, K.dot(F.col("proj_bd"), F.col("other")).alias("s"))
-    return dense.join(terms, BENCH, "left").select(*BENCH, F.round(0.35 * F.col("s") + 0.65 * F.coalesce("t", F.lit(0.0)), 6).alias("sim"))
+    """Similarity of each row and its ten dense neighbours: the dense cosine, and those of words and of characters, whose
+    shares depend on the median length of the subset."""
+    n = table(spark, d, "bench_rows").count()
+    nn = cut(K.exact_knn(table(spark, d, "feature_rows"), "row_no", "g", 10, group="subset_id").select("subset_id", "src", "dst", (1 - F.col("dist")).alias("dense")))
+    c = X.clean(F.col("text"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("c") - 2), lambda i: F.concat(F.lit("#"), F.substring(F.col("c"), i, 3)))
+    chars = cut(O.counts(bench(spark, d).select(*BENCH, c.alias("c")).where("length(c) >= 3"), BENCH, grams))
+    out = nn
+    for name, tf in (("words", cut(bench_tf(spark, d))), ("chars", chars)):
+        u = O.tfidf(tf, BENCH, n, min_df=2, max_df=0.95).select(F.col("subset_id").cast("long").alias("subset_id"), F.col("row_no").cast("long").alias("row_no"), F.struct("term", "value").alias("t"))
+        rows = cut(u.groupBy("subset_id", "row_no").agg(F.map_from_entries(F.collect_list("t")).alias("m")))
+        x, y = (rows.select("subset_id", F.col("row_no").alias(i), F.col("m").alias(f"m_{i}")) for i in ("src", "dst"))
+        shared = F.aggregate(F.map_entries("m_src"), F.lit(0.0), lambda a, e: a + e.value * F.coalesce(F.try_element_at("m_dst", e.key), F.lit(0.0)))
+        sim = nn.join(x, ["subset_id", "src"]).join(y, ["subset_id", "dst"]).select("subset_id", "src", "dst", shared.alias(name))
+        out = out.join(sim, ["subset_id", "src", "dst"], "left")
+    q = table(spark, d, "bench_rows").where("text is not null").groupBy(F.col("subset_id").cast("long").alias("subset_id")).agg(F.when(F.median(F.length("text")) < 120, 0.35).otherwise(0.1).alias("q"))
+    sim = F.col("q") * F.col("dense") + (1 - F.col("q")) / 2 * (F.coalesce("words", F.lit(0.0)) + F.coalesce("chars", F.lit(0.0)))
+    return out.join(q, "subset_id").select("subset_id", "src", "dst", F.round(sim, 6).alias("sim"))
 
 
 @query()

@@ -343,6 +343,64 @@ def r02_one_sided(spark: SparkSession, d: str) -> DataFrame:
     return s.select("g", "n", statistics.normal_tail(F.col("z")).alias("p"))
 
 
+VARIANTS, ORDERS = ("label", "src_label"), 3
+
+
+def all_units(spark: SparkSession, d: str) -> DataFrame:
+    """(subset_id, variant, order_no, main, one, other): the two solutions' scores against both kinds of labels, each on
+    three seeded two-thirds of the subset."""
+    b = T(spark, d, "bench_rows").select("subset_id", "row_no", F.col("label").cast("string").alias("label"), "src_label", (F.col("src") == "reddit").alias("main"))
+    t = T(spark, d, "feature_rows").where("pred is not null").select("subset_id", "row_no", "pred")
+    t = t.withColumn("strict", F.when(F.count(F.lit(1)).over(Window.partitionBy("subset_id", "pred")) < 110, -1).otherwise(F.col("pred")))
+    t = t.join(b, ["subset_id", "row_no"]).withColumn("part", X.stable_hash(F.col("row_no").cast("string")) % ORDERS)
+    t = t.withColumn("v", F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("truth")) for v in VARIANTS]))).withColumn("order_no", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))))
+    t = t.where("part <> order_no and v.truth is not null").select(F.struct("subset_id", "v.variant", "order_no", "main").alias("unit"), F.col("v.truth").alias("truth"), "pred", "strict")
+    one, two = (metrics.partition_scores(t, "unit", "truth", c).select("unit", F.col("combined").alias(n)) for c, n in (("pred", "one"), ("strict", "other")))
+    return one.join(two, "unit").select("unit.*", "one", "other")
+
+
+_PARTS = f"({Q.stable_hash('CAST(row_no AS VARCHAR)')} % 3)"
+
+
+@query(f"""WITH c AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY subset_id, pred) < 110 THEN -1 ELSE pred END AS strict FROM feature_rows WHERE pred IS NOT NULL),
+v AS (SELECT c.subset_id, c.row_no, c.pred, c.strict, unnest([{{'k': 'label', 't': CAST(b.label AS VARCHAR)}}, {{'k': 'src_label', 't': b.src_label}}]) AS v FROM c JOIN bench_rows b USING (subset_id, row_no)), o AS (SELECT *, unnest(range(3)) AS order_no FROM v),
+u AS (SELECT subset_id, v.k AS variant, order_no, v.t AS truth, pred, strict FROM o WHERE v.t IS NOT NULL AND {_PARTS} <> order_no)
+SELECT subset_id, variant, CAST(order_no AS INT) AS order_no, count(*) AS n, count(DISTINCT truth) AS groups, count(DISTINCT strict) AS found FROM u GROUP BY ALL""")
+def r05_paired_units(spark: SparkSession, d: str) -> DataFrame:
+    """Every unit of subset, kind of label and order that both solutions have, with its size."""
+    b = T(spark, d, "bench_rows").select("subset_id", "row_no", F.col("label").cast("string").alias("label"), "src_label")
+    t = T(spark, d, "feature_rows").where("pred is not null").select("subset_id", "row_no", "pred")
+    t = t.withColumn("strict", F.when(F.count(F.lit(1)).over(Window.partitionBy("subset_id", "pred")) < 110, -1).otherwise(F.col("pred"))).join(b, ["subset_id", "row_no"])
+    t = t.withColumn("v", F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("truth")) for v in VARIANTS]))).withColumn("order_no", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))))
+    t = t.where((X.stable_hash(F.col("row_no").cast("string")) % ORDERS != F.col("order_no")) & F.col("v.truth").isNotNull())
+    return t.groupBy("subset_id", "v.variant", "order_no").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v.truth").alias("groups"), F.count_distinct("strict").alias("found"))
+
+
+@query()
+def r04_simulated_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Chances of the gain of 20,000 rounds, each of three subsets of posts and one other, above thresholds."""
+    g = sampling.simulated_rounds(all_units(spark, d).select("subset_id", "main", "one", "other"), 20_000, 4)
+    return g.agg(F.round(F.median("gain"), 4).alias("median"), *[F.avg((F.col("gain") > t).cast("double")).alias(f"above_{str(t).replace('.', '_')}") for t in (0, 1, 1.5, 2, 3)])
+
+
+@query()
+def sampling_p02_topic_subset(spark: SparkSession, d: str) -> DataFrame:
+    """A subset of 2,000 posts around focus topics."""
+    return sampling.topic_subset(T(spark, d, "post_pool"), "post_id", "text", "label", 2000, 3, least=50)
+
+
+@query()
+def sampling_p03_group_mix(spark: SparkSession, d: str) -> DataFrame:
+    """300 papers, fields mixed by fixed shares with jitter."""
+    t = T(spark, d, "paper_pool").groupBy("paper_id").agg(F.min(F.substring_index("cat", ".", 1)).alias("field"))
+    return sampling.group_mix(t, "paper_id", "field", 300, 5, {"geo": 0.4, "bio": 0.3, "cmp": 0.2, "ast": 0.1})
+
+
+@query("WITH s AS (SELECT subset_id, count(*) AS rows FROM bench_rows GROUP BY ALL) SELECT h.subset_id AS held_out, s.subset_id, s.rows FROM s h JOIN s ON h.subset_id <> s.subset_id")
+def sampling_p07_left_out(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.left_out_folds(T(spark, d, "bench_rows"), "subset_id")
+
+
 @query()
 def r03_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     b = sampling.bootstrap(T(spark, d, "cluster_responses"), "took_s", 2000, 1)
