@@ -52,7 +52,7 @@ def length_batches(df: DataFrame, key: str, length: str, budget: int, salts: int
     are counted by (length, salt), so a length that many rows share is in no single task.
     """
     spark = df.sparkSession
-    rows = df.select(key, F.col(length).cast("int").alias("n")).where("n > 0").withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    rows = df.select(key, F.col(length).cast("int").alias("n")).where("n > 0").withColumn("__salt", (stable_hash(F.col(key).cast("string")) % salts).cast("int"))
     cells = rows.groupBy("n", "__salt").agg(F.count(F.lit(1)).alias("c"))
     bars = cells.groupBy("n").agg(F.sum("c").alias("c"))
     kinds = bars.count()

@@ -131,7 +131,8 @@ def w05_arg_max(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("best"))
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents), t AS (SELECT doc_id, n, row_number() OVER (ORDER BY n, {Q.stable_hash('CAST(doc_id AS VARCHAR)')} % 64, doc_id) AS r FROM d WHERE n > 0),
+g AS (SELECT r, doc_id, n, 0 AS batch, 1 AS c FROM t WHERE r = 1 UNION ALL SELECT t.r, t.doc_id, t.n, CASE WHEN (g.c + 1) * t.n <= 8192 THEN g.batch ELSE g.batch + 1 END, CASE WHEN (g.c + 1) * t.n <= 8192 THEN g.c + 1 ELSE 1 END FROM g JOIN t ON t.r = g.r + 1) SELECT doc_id, n, batch FROM g""")
 def w06_length_batches(spark: SparkSession, d: str) -> DataFrame:
     """Batches of documents in order of length whose padded size stays within 8,192 words."""
     t = T(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)).alias("n")).where("n > 0")

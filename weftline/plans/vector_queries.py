@@ -89,9 +89,22 @@ def j03_connectivity(spark: SparkSession, d: str) -> DataFrame:
     return K.symmetric(neighbours(spark, d, 15), loops=True)
 
 
-@query()
+@query(f"""WITH RECURSIVE {NN(15)}, d AS (SELECT src, list(dist ORDER BY dist) AS d, coalesce(min(dist) FILTER (dist > 0), 0) AS rho, avg(dist) AS m FROM nn GROUP BY src),
+b AS (SELECT src, d, rho, m, 0 AS i, 0.0::DOUBLE AS lo, 1e308::DOUBLE AS hi, 1.0::DOUBLE AS mid FROM d UNION ALL
+SELECT src, d, rho, m, i + 1, CASE WHEN s > ln(15) / ln(2) THEN lo ELSE mid END, CASE WHEN s > ln(15) / ln(2) THEN mid ELSE hi END, CASE WHEN s > ln(15) / ln(2) THEN (lo + mid) / 2 WHEN hi < 1e300 THEN (mid + hi) / 2 ELSE mid * 2 END
+FROM (SELECT *, list_sum(list_transform(d, lambda x: CASE WHEN x - rho > 0 THEN exp(-(x - rho) / mid) ELSE 1.0 END)) AS s FROM b WHERE i < 64)),
+w AS (SELECT nn.src, nn.dst, exp(-greatest(nn.dist - rho, 0) / greatest(mid, 0.001 * m)) AS w FROM nn JOIN b ON b.src = nn.src AND b.i = 64),
+f AS (SELECT coalesce(x.src, y.dst) AS src, coalesce(x.dst, y.src) AS dst, coalesce(x.w, 0) AS a, coalesce(y.w, 0) AS b FROM w x FULL JOIN w y ON x.src = y.dst AND x.dst = y.src) SELECT src, dst, round(a + b - a * b, 5) AS w FROM f WHERE a + b - a * b > 0""")
 def j04_fuzzy_graph(spark: SparkSession, d: str) -> DataFrame:
-    return K.fuzzy_graph(cut(neighbours(spark, d, 15)), 15)
+    return K.fuzzy_graph(cut(neighbours(spark, d, 15)), 15).withColumn("w", F.round("w", 5))
+
+
+@query(f"WITH {NN(15)}, w AS (SELECT src, dst, 1 - dist AS w FROM nn), m AS (SELECT max(w) AS m FROM w) SELECT src, dst, round(m / w, 6) AS every FROM w, m WHERE w >= m / 200")
+def j20_due_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges strong enough to be visited in 200 rounds, and after how many rounds each is due."""
+    nn = cut(neighbours(spark, d, 15).withColumn("w", 1 - F.col("dist")))
+    top = nn.agg(F.max("w").alias("m"))
+    return nn.join(F.broadcast(top)).where("w >= m / 200").select("src", "dst", F.round(F.col("m") / F.col("w"), 6).alias("every"))
 
 
 @query(f"WITH {NN(15)}, e AS (SELECT src, dst FROM nn UNION SELECT dst, src FROM nn), g AS (SELECT src, count(*) AS d FROM e GROUP BY src) SELECT e.src, e.dst, round(1.0 / sqrt(a.d * b.d), 6) AS w FROM e JOIN g a ON a.src = e.src JOIN g b ON b.src = e.dst")
@@ -100,13 +113,6 @@ def j19_normalised_adjacency(spark: SparkSession, d: str) -> DataFrame:
     return K.normalised_adjacency(e).withColumn("w", F.round("w", 6))
 
 
-@query(f"WITH {NN(15)}, m AS (SELECT max(1 - dist) AS m FROM nn) SELECT src, dst, round(m / (1 - dist), 6) AS epochs FROM nn, m WHERE (1 - dist) >= m / 4")
-def j20_due_edges(spark: SparkSession, d: str) -> DataFrame:
-    nn = cut(neighbours(spark, d, 15).withColumn("w", 1 - F.col("dist")))
-    top = nn.agg(F.max("w").alias("m"))
-    return nn.join(F.broadcast(top)).where("w >= m / 4").select("src", "dst", F.round(F.col("m") / F.col("w"), 6).alias("epochs"))
-
-
 @query(f"WITH {NN(5)}, v AS (SELECT src, label, count(*) AS n FROM nn JOIN u ON nn.dst = u.vec_id GROUP BY ALL) SELECT src AS vec_id, label FROM v QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, label) = 1")
 def j06_majority_vote(spark: SparkSession, d: str) -> DataFrame:
     v = neighbours(spark, d, 5).join(emb(spark, d).select(F.col("vec_id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
