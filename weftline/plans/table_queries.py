@@ -337,6 +337,18 @@ def r02_signed_rank(spark: SparkSession, d: str) -> DataFrame:
     return statistics.signed_rank(_diffs(spark, d), "g", "x").select("g", "n", F.round("w_plus", 3).alias("w_plus"), F.round("z", 6).alias("z"))
 
 
+@query()
+def r01_sign_test_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The former name of the test over all orders, which ``r01_sign_test`` is now too."""
+    return r01_sign_test(spark, d)
+
+
+@query()
+def r02_signed_rank_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The former name of the rank sum over all orders."""
+    return r02_signed_rank(spark, d).select("g", "n", "w_plus")
+
+
 @query()
 def r02_one_sided(spark: SparkSession, d: str) -> DataFrame:
     """The one-sided p value of the rank sum by the normal approximation; SQL here has no error function."""

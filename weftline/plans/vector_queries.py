@@ -164,7 +164,7 @@ f AS (SELECT subset_id, row_no, row_number() OVER (PARTITION BY subset_id ORDER
 s AS (SELECT f.subset_id, 1000000 + k - 1 AS c, u.v FROM f JOIN u USING (subset_id, row_no) WHERE k <= floor(n * 0.25)),
 q AS (SELECT a.subset_id, a.c AS a, b.c AS b, greatest(round((1 - list_dot_product(a.v, b.v)) * 1e6), 0) / 1e6 AS dist FROM s a JOIN s b ON a.subset_id = b.subset_id AND a.c <> b.c), n1 AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY subset_id, a ORDER BY dist, b) = 1)
 SELECT x.subset_id, x.a, x.b, round(1 - x.dist, 6) AS sim FROM n1 x JOIN n1 y ON x.subset_id = y.subset_id AND x.a = y.b AND x.b = y.a WHERE x.a < x.b AND 1 - x.dist >= 0.8""")
-def j09_mutual_merges(spark: SparkSession, d: str) -> DataFrame:
+def j09_singleton_merges(spark: SparkSession, d: str) -> DataFrame:
     """One round: the pairs of singletons that are each other's nearest and close enough."""
     from weftline.operators.labels import mutual_merges
 
@@ -172,6 +172,15 @@ def j09_mutual_merges(spark: SparkSession, d: str) -> DataFrame:
     return mutual_merges(t, "cluster", "g", 1, 0.8, group="subset_id")
 
 
+@query()
+def j09_mutual_merges(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of the given clusters of at most five rows that are each other's nearest."""
+    from weftline.operators.labels import mutual_merges
+
+    t = table(spark, d, "feature_rows").where("g is not null and pred is not null")
+    return mutual_merges(t.select("subset_id", F.col("pred").alias("cluster"), "g"), "cluster", "g", 5, 0.5, group="subset_id")
+
+
 @query()
 def j09_merged_tiny(spark: SparkSession, d: str) -> DataFrame:
     """Both stages with all their rounds, relabelled."""
