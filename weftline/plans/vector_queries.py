@@ -249,13 +249,6 @@ def c13_baseline_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return baseline(table(spark, d, "bench_rows"), "subset_id", "row_no", "text")
 
 
-@query()
-def c13_leader_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    from weftline.plans.pipelines import leader
-
-    return leader(table(spark, d, "bench_rows"), "subset_id", "row_no", "text")
-
-
 @query()
 def c02_fallback(spark: SparkSession, d: str) -> DataFrame:
     from weftline.plans.pipelines import fallback
