@@ -27,9 +27,9 @@ def norm(v: Column) -> Column:
 
 
 def normalise(v: Column) -> Column:
-    """Unit length in double precision; zero vectors stay."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    """Unit length in double precision; zero vectors stay.  The norm is bound once, not computed for every element."""
+    one = F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
+    return F.get(one, F.lit(0))
 
 
 def _rows(col: pa.ChunkedArray) -> np.ndarray:
