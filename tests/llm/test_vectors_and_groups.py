@@ -120,6 +120,22 @@ def test_index_finds_the_neighbours(spark, cell):
     assert len(want) > 1000 and len(got & want) >= (0.99 if cell > 1000 else 0.9) * len(want)
 
 
+@pytest.mark.parametrize("cell", [8, 30, 100])
+def test_long_lists_lose_no_neighbour(spark, cell):
+    """Lists far above a cell, and records that share one word only, whose list is long."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(150):
+        words_ = [(7, 0.5, 150), *((int(w), 0.2, 30) for w in rng.choice(np.arange(10, 25), 3, replace=False)), (1000 + i, 0.0, 1)]
+        own = (1 - sum(v * v for _, v, _ in words_)) ** 0.5
+        rows += [(1, i, w, v or own, df) for w, v, df in words_]
+    rows += [(1, 200 + i, 7, 0.6, 150) for i in range(4)] + [(1, 200 + i, 2000 + i, 0.8, 1) for i in range(4)] + [(2, i, 7, 1.0, 3) for i in range(3)]
+    vec = spark.createDataFrame(rows, "request_id long, pos int, word long, val float, df long").cache()
+    edges = lambda c: {tuple(r) for r in markov.similarity_graph(vec, c).select("request_id", "pos", "other", "sim").collect()}
+    want = edges(100_000)
+    assert len(want) > 2000 and edges(cell) == want
+
+
 def test_rounds_do_not_depend_on_blocks():
     rng = np.random.default_rng(0)
     m = np.where(rng.random((50, 50)) < 0.2, rng.random((50, 50)), 0) + np.eye(50)
@@ -138,6 +154,14 @@ def test_rounds_do_not_depend_on_blocks():
     assert best == dense[:, k].argmax()
 
 
+def test_columns_of_many_entries_lose_none():
+    """Flow that spreads evenly over more than a few records stays with all of them."""
+    n = 120
+    off, row, val = np.arange(0, n * n + 1, n), np.tile(np.arange(n), n), np.full(n * n, 1 / n)
+    off2, row2, val2 = markov.expand(off, row, val, np.arange(n), off, row, val)
+    assert np.array_equal(off2, off) and np.array_equal(row2, row) and np.allclose(val2, val)
+
+
 def test_no_requests(spark):
     req = spark.createDataFrame([], "request_id long, texts array<string>")
     assert markov.group_texts(markov.request_texts(req)).count() == 0

@@ -13,16 +13,16 @@ The similarity graph links each representative to its ``KNN`` most similar ones
 come from an index of rare words: words are ordered by rarity, and a record is listed under the shortest head of its
 words such that the rest has a norm below ``LEAST_COS``; two records of that cosine share a word of both heads.  The
 lists are packed into cells of about ``CELL`` entries, and a cell computes exact cosines of its members.  A list above
-``CELL`` entries is divided by a second shared word, and where that is not enough by hash; only there a neighbour may
-be missed (see the README for the measured recall).  Work and shuffle grow with the number of entries.
+``CELL`` entries is cut into parts of half a cell, and every two parts are a cell: no neighbour is missed.  Work and
+shuffle grow with the number of entries, those of such a list with its square.
 
-Markov clustering then alternates squaring of the column-stochastic matrix, inflation, and pruning of small entries (at
-most ``KEEP`` stay in a column) until it stops changing.  The row with the largest entry of a column is its attractor;
+Markov clustering then alternates squaring of the column-stochastic matrix, inflation, and pruning of the entries below
+``SMALL``, however many others a column has, until it stops changing.  The row with the largest entry of a column is its attractor;
 columns with one attractor are a cluster.  Members far from the centre of the others are strays, and clusters below
 ``LEAST_SIZE`` texts are dissolved.  Typical members are those that received the most flow after two expansions.
 
 Squaring is distributed by blocks of columns: in a round every block meets the columns it refers to, which bounds a
-task by ``COLUMN_BLOCK * KEEP`` columns of ``KEEP`` entries.  After the first two rounds a block that refers to nothing
+task by ``COLUMN_BLOCK * KEEP`` columns of ``KEEP`` entries, and by the request's columns.  After the first two rounds a block that refers to nothing
 outside itself goes on where it is, since nothing would be sent to it; the arithmetic and the stop rule are the same, so
 the result does not depend on the blocks.  A request takes part until all its columns are still; one that is not after
 ``MAX_ROUNDS`` rounds is reported by a warning and used as it is.
@@ -46,7 +46,9 @@ from weftline.llm.sentences import sentences_of
 from weftline.session import cut, spread
 
 KNN, LEAST_COS, SHARPEN = 20, 0.3, 3
-INFLATION, KEEP, SMALL, MAX_ROUNDS = 1.6, 40, 1e-3, 80
+INFLATION, SMALL, MAX_ROUNDS = 1.6, 1e-3, 80
+#: As many entries of at least ``SMALL`` as a column of sum 1 can have: none is dropped for being one of many.
+KEEP = round(1 / SMALL)
 SURPRISAL, LEAST_WORDS, LEAST_SIZE, LEAST_CENTRE = 0.58, 5, 8, 0.27
 CELL, COLUMN_BLOCK = 16_384, 8192
 _KEY = ["request_id"]
@@ -165,18 +167,19 @@ def _heads(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _cells(rows: DataFrame, cell: int) -> DataFrame:
-    """(request_id, pos, cell): the cells in which each record is compared."""
+    """(request_id, list, cell, pos): the cells in which each record is compared; ``list`` is 0 where a cell holds whole
+    lists, else the word of the long list that it holds two parts of."""
     post = rows.select(*_KEY, "pos", F.explode("keys").alias("key"))
     count = cut(post.groupBy(*_KEY, "key").agg(F.count(F.lit(1)).alias("n")))
-    hot = count.where(F.col("n") > cell).select(*_KEY, "key")
-    plain = post.join(hot, [*_KEY, "key"], "left_anti").select(*_KEY, "pos", "key")
-    second = post.join(hot, [*_KEY, "key"]).join(post.select(*_KEY, "pos", F.col("key").alias("other")), [*_KEY, "pos"]).where("key <> other")
-    second = second.select(*_KEY, "pos", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
-    twice = second.groupBy(*_KEY, "key").agg(F.ceil(F.count(F.lit(1)) / cell).alias("parts"))
-    second = second.join(twice, [*_KEY, "key"]).select(*_KEY, "pos", F.xxhash64("key", F.pmod(F.xxhash64("pos", "key"), "parts")).alias("key"))
-    number = count.groupBy(*_KEY).agg(F.ceil(F.sum("n") / cell).alias("cells"))
-    entries = plain.unionByName(second).join(number, _KEY)
-    return entries.select(*_KEY, "pos", F.pmod(F.xxhash64("key"), "cells").cast("int").alias("cell")).distinct()
+    # at least three parts, so that two records of one part meet in the cell of that part and another
+    hot = count.where(F.col("n") > cell).select(*_KEY, "key", F.ceil(2 * F.col("n") / cell).cast("int").alias("parts"))
+    number = count.where(F.col("n") <= cell).groupBy(*_KEY).agg(F.ceil(F.sum("n") / cell).alias("cells"))
+    plain = post.join(hot, [*_KEY, "key"], "left_anti").join(number, _KEY)
+    plain = plain.select(*_KEY, F.lit(0).cast("long").alias("list"), F.pmod(F.xxhash64("key"), "cells").alias("cell"), "pos").distinct()
+    part = post.join(hot, [*_KEY, "key"]).withColumn("part", F.pmod(F.xxhash64("pos", "key"), "parts"))
+    part = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("part <> other")
+    pair = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
+    return plain.unionByName(part.select(*_KEY, F.col("key").alias("list"), pair.alias("cell"), "pos"))
 
 
 def _similar(key: tuple, t: pa.Table) -> pa.Table:
@@ -223,7 +226,7 @@ def similarity_graph(vec: DataFrame, cell: int = CELL) -> DataFrame:
     rows = rows.select(*_KEY, "pos", F.col("w.word").alias("words"), F.col("w.val").alias("vals"), F.col("w.df").alias("dfs"))
     rows = cut(_heads(rows, LEAST_COS))
     placed = _cells(rows, cell).join(rows.drop("keys"), [*_KEY, "pos"])
-    near = placed.groupBy(*_KEY, "cell").applyInArrow(_similar, "request_id long, pos int, other int, sim float")
+    near = placed.groupBy(*_KEY, "list", "cell").applyInArrow(_similar, "request_id long, pos int, other int, sim float")
     # a pair that meets in several cells has the same similarity in each, hence one rank
     best = Window.partitionBy(*_KEY, "pos").orderBy(F.desc("sim"), "other")
     near = near.withColumn("r", F.dense_rank().over(best)).where(F.col("r") <= KNN).drop("r")
@@ -269,10 +272,6 @@ def expand(k_off: np.ndarray, k_row: np.ndarray, k_val: np.ndarray, ids: np.ndar
         v /= np.bincount(c, v, hi - lo)[c]
         keep = v >= SMALL
         cell, v, c = cell[keep], v[keep], c[keep]
-        by = np.lexsort((cell, -v, c))
-        rank = np.arange(len(by)) - np.searchsorted(c[by], c[by])
-        by = np.sort(by[rank < KEEP])
-        cell, v, c = cell[by], v[by], c[by]
         v = v / np.bincount(c, v, hi - lo)[c]
         out_n.append(np.bincount(c, minlength=hi - lo))
         out_r.append(names[cell % width])
