@@ -205,6 +205,15 @@ def test_whole_paired_tests_take_every_row(spark, tmp_path):
     assert {r.g: r.n for r in QUERIES["r02_signed_rank_whole"](spark, str(tmp_path)).collect()} == {"a": 200, "b": 301}
 
 
+def test_labels_of_copies_beyond_32_bits(spark, tmp_path):
+    from weftline.plans.registry import QUERIES
+
+    rows = [(2147, 483_648, "Far away"), (3000, 1, "far  AWAY!"), (30, 7, "near by"), (3001, 2, "Near by"), (3001, 3, "??"), (3001, 4, None)]
+    spark.createDataFrame(rows, "subset_id int, row_no int, text string").write.parquet(str(tmp_path / "bench_rows.parquet"))
+    got = {(r.subset_id, r.row_no): r.label for r in QUERIES["j14_labels_back_to_copies"](spark, str(tmp_path)).collect()}
+    assert got == {(2147, 483_648): 2_147_483_648, (3000, 1): 2_147_483_648, (30, 7): 30_000_007, (3001, 2): 30_000_007, (3001, 3): -1, (3001, 4): -1}
+
+
 def test_nibbles_round_trip(spark):
     df = spark.range(256).select(F.col("id").cast("int").alias("b"))
     c = codecs.unpack_nibbles(F.col("b"))
