@@ -195,6 +195,17 @@ def test_sign_test_of_large_groups(spark):
         assert abs(got[g] - total / 2**n) < 1e-9, g
 
 
+def test_signed_rank_of_millions(spark):
+    n = 1_800_000  # n * (n + 1) * (2 * n + 1) exceeds 64 bits
+    df = spark.range(n).selectExpr("'a' as g", "cast(if(id % 5 < 3, 1, -1) * (id % 4 + 1) as double) as x")
+    got = statistics.signed_rank(df, "g", "x").collect()
+    k = n // 4
+    ranks = [k * i + (k + 1) / 2 for i in range(4)]
+    w = sum(r * k * 3 / 5 for r in ranks)
+    z = (w - n * (n + 1) / 4) / (n * (n + 1) * (2 * n + 1) / 24 - 4 * (k**3 - k) / 48) ** 0.5
+    assert [(r.g, r.n, r.w_plus) for r in got] == [("a", n, w)] and abs(got[0].z - z) < 1e-9
+
+
 def test_whole_paired_tests_take_every_row(spark, tmp_path):
     from weftline.plans.registry import QUERIES
 

@@ -39,7 +39,7 @@ def signed_rank(df: DataFrame, group: str, diff: str) -> DataFrame:
     cell = d.groupBy(group, "a").agg(F.count(F.lit(1)).alias("k"), F.count(F.when(F.col("d") > 0, 1)).alias("p"))
     before = F.sum("k").over(Window.partitionBy(group).orderBy("a")) - F.col("k")
     s = cell.withColumn("rank", before + (F.col("k") + 1) / 2).groupBy(group).agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("p")).alias("w_plus"), F.sum(F.pow("k", F.lit(3)) - F.col("k")).alias("ties"))
-    n = F.col("n")
+    n = F.col("n").cast("double")  # its cube exceeds 64 bits from 1.7 million differences on
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     return s.select(group, "n", "w_plus", ((F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(F.nullif(var, F.lit(0.0)))).alias("z"))
 
