@@ -180,7 +180,7 @@ def j13_expanded(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH c AS (SELECT subset_id, row_no, {Q.clean('text')} AS c FROM bench_rows), u AS (SELECT c, min(subset_id * 1000000 + row_no) AS label FROM c WHERE c <> '' GROUP BY c) SELECT subset_id, row_no, coalesce(label, -1) AS label FROM c LEFT JOIN u USING (c)")
 def j14_labels_back_to_copies(spark: SparkSession, d: str) -> DataFrame:
     """Each distinct cleaned text is labelled once, by its first row, and the label goes back to all copies.  Labels are
-    64-bit: from subset 2,147 on they exceed 32."""
+    64-bit: above subset 2,147 they exceed 32."""
     rows = T(spark, d, "bench_rows").select("subset_id", "row_no", X.clean(F.col("text")).alias("c"))
     u = rows.where("c <> ''").groupBy("c").agg(F.min(F.col("subset_id").cast("long") * 1000000 + F.col("row_no")).alias("label"))
     return rows.join(u, "c", "left").select("subset_id", "row_no", F.coalesce("label", F.lit(-1)).alias("label"))
